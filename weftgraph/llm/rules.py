@@ -23,21 +23,22 @@ CELLS = [*CLASSES, "space", "other"]
 
 def counts(docs: DataFrame, common_chars: int) -> DataFrame:
     """A row of counts for each row of ``docs`` (doc_id, text, lang): the base rules' and the histograms'."""
+    space = C.SPACE_CLASS.replace("\\", "\\\\")  # once more, for an SQL literal
     lang = docs["lang"].cast("string") if any(c.lower() == "lang" for c in docs.columns) else F.lit(None).cast("string")
     t = docs.select("doc_id", lang.alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
     t = t.selectExpr(
         "doc_id",
         "lang",
         "t",
-        rf"filter(split(t, '[{C.SPACE_CLASS}]+'), w -> w <> '') AS w",
-        r"filter(split(t, '\n'), x -> length(btrim(x, ' \t\n\x0b\f\r')) > 0) AS lines".replace("\\x0b", "\x0b").replace("\\f", "\x0c").replace("\\t", "\t").replace("\\r", "\r"),
-        rf"array_sort(filter(split(lower(t), '[{C.SPACE_CLASS}.,;:!?]+'), w -> length(w) BETWEEN 1 AND {common_chars})) AS short",
+        f"filter(split(t, '[{space}]+'), w -> w <> '') AS w",
+        f"filter(split(t, '\\n'), x -> length(btrim(x, '{C.SPACE}')) > 0) AS lines",
+        f"filter(split(lower(t), '[{space}.,;:!?]+'), w -> w <> '') AS tokens",
     )
     t = t.selectExpr(
         "doc_id",
         "lang",
         "w",
-        "short",
+        f"sort_array(filter(tokens, w -> length(w) <= {common_chars})) AS short",
         "size(w) AS n_words",
         "length(array_join(w, '')) AS word_chars",
         "length(t) AS n_chars",
@@ -45,7 +46,7 @@ def counts(docs: DataFrame, common_chars: int) -> DataFrame:
         "size(lines) - size(array_distinct(lines)) AS n_dup_lines",
         # the places of 3-word windows, sorted by their hash: low bits hold the place
         "shiftleft(CAST(1 AS BIGINT), length(bin(size(w)))) - 1 AS mask",
-        rf"size(filter(split(lower(t_), '[{C.SPACE_CLASS}.,;:!?]+'), w -> w <> '')) AS n_tokens".replace("t_", "t"),
+        "size(tokens) AS n_tokens",
     )
     t = t.withColumn("at", F.expr("IF(n_words < 3, CAST(array() AS ARRAY<BIGINT>), sort_array(transform(sequence(0, n_words - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~mask) | i)))"))
     t = t.withColumn("bounds", F.expr("IF(size(short) = 0, CAST(array() AS ARRAY<INT>), filter(sequence(0, size(short) - 1), i -> CASE WHEN i = 0 THEN true ELSE short[i] <> short[i - 1] END))"))
