@@ -114,9 +114,10 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
 
 def _cut(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     b = bucket[order]
-    start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(b)], strict=True):
-        yield int(b[s]), order[s:e]
+    if len(b):
+        start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(b)], strict=True):
+            yield int(b[s]), order[s:e]
 
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -145,19 +146,12 @@ def _answers(doc_key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """(doc, at): for each document the places found, packed."""
     order = np.lexsort((at, doc_key))
     keys, out = [], []
-    for k, i in _cut_keys(order, doc_key):
+    for k, i in _cut(order, doc_key):
         keys.append(k)
         out.append(_packed(at[i], "<u4"))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc", "at"])
 
 
-def _cut_keys(order: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    k = key[order]
-    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(k)], strict=True):
-        yield int(k[s]), order[s:e]
-
-
 _ANSWER = "doc bigint, at binary"
 
 
