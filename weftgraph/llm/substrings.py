@@ -320,10 +320,10 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, gram: int = 20) ->
     some = keyed.join(places, "doc")
     exact = C.map_batches(some, _exact(ranges, window, gram), "range int, low binary, whole binary, docs binary, at binary, n binary")
     dealt = exact.repartition(n, "range", spread).sortWithinPartitions("range")
-    starts = C.materialise(C.map_batches(dealt, _decide, _ANSWER), "starts").groupBy("doc").agg(F.collect_list("at").alias("__at"))
+    starts = C.materialise(C.map_batches(dealt, _decide, _ANSWER), "starts").groupBy(F.col("doc").alias("__row")).agg(F.collect_list("at").alias("__at"))
     rest = C.without(docs, "text", "n_words", "n_removed").columns
-    all_rows = docs.select(*[docs[f"`{c}`"] for c in rest], docs["text"].alias("__text"), row.alias("doc"))
-    joined = all_rows.join(starts, "doc", "left").drop("doc")
+    all_rows = docs.select(*[docs[f"`{c}`"] for c in rest], docs["text"].alias("__text"), row.alias("__row"))
+    joined = all_rows.join(starts, "__row", "left").drop("__row")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = C.map_batches(joined, _remove(window), f"{fields}, text string, n_words bigint, n_removed bigint")
     order = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
