@@ -3,8 +3,9 @@
 Items are partitioned by size (powers of two of their shingles). A partition's sketch is the k
 smallest hashes of an item's shingles, k one more than a match may lack of the partition's largest
 item: a document that contains the item to the threshold holds at least one of them, so the search
-loses nothing. Long documents probe the sketches with each of their shingles in one map-side pass,
-and candidates are verified there and then by exact containment of the shingles' words.
+loses nothing. Long documents probe the sketches with each of their shingles in one map-side pass;
+only those with a hit go on, and candidates are verified there and then by exact containment of the
+shingles' words.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def _shingled(df: DataFrame, words: int) -> DataFrame:
 
 def _texts(words: int) -> str:
     """The distinct shingles of w as texts."""
-    return f"array_distinct(transform(sequence(0, size(w) - {words}), i -> array_join(slice(w, i + 1, {words}), ' ')))"
+    return f"IF(size(w) < {words}, CAST(array() AS ARRAY<STRING>), array_distinct(transform(sequence(0, size(w) - {words}), i -> array_join(slice(w, i + 1, {words}), ' '))))"
 
 
 def item_sketches(items: DataFrame, words: int, percent: int) -> DataFrame:
@@ -37,23 +38,26 @@ def item_sketches(items: DataFrame, words: int, percent: int) -> DataFrame:
     return t.select(F.explode("sketch").alias("key"), "item_id", "shingles", "n")
 
 
-def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, broadcast_keys: int = 100_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, in_line_keys: int = 20_000) -> DataFrame:
     """Rows (doc_id, item_id, n_shingles, n_found, containment) of items held by a document to ``percent``.
 
     Shingles are ``words`` consecutive words, lower-cased runs of letters and digits, as a set; items
     with fewer words have none and match nothing, as do null and empty texts on either side. Documents
     are read whole. Rows that repeat a doc_id or item_id give one row, with the most found; a null
     doc_id or item_id stands as it is. Columns beyond doc_id, item_id and text are ignored, whatever
-    their names; either table empty gives no rows. The items' sketches are broadcast up to
-    ``broadcast_keys`` rows; beyond, probes are joined by shuffle and candidates by document.
+    their names; either table empty gives no rows. Up to ``in_line_keys`` hashes the sketches are a set
+    inside the expression; beyond, probes are joined by shuffle and candidates by document.
     """
     C.need(docs, "doc_id", "text")
     C.need(items, "item_id", "text")
     keys = C.materialise(item_sketches(items, words, percent), "sketches")
     t = _shingled(docs.select("doc_id", "text"), words)
     found = F.expr(f"size(array_intersect(shingles, {_texts(words)}))")
-    if keys.count() <= broadcast_keys:
-        probed = t.select("doc_id", "w", F.explode_outer("h").alias("key")).join(F.broadcast(keys), "key")
+    known = [r["key"] for r in keys.select("key").distinct().limit(in_line_keys + 1).collect()]
+    if len(known) <= in_line_keys:
+        # outer: a filter on the array would be pushed below w and evaluate it for each shingle
+        hits = t.withColumn("hits", F.array_distinct(F.filter("h", lambda x: x.isin(known))))
+        probed = hits.select("doc_id", "w", F.explode_outer("hits").alias("key")).join(F.broadcast(keys), "key")
     else:
         t = t.withColumn("row", F.xxhash64("doc_id", "text"))
         hits = t.select("row", F.explode_outer("h").alias("key")).join(keys.select("key", "item_id"), "key").select("row", "item_id").distinct()
