@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import shared_table
 from .traverse import ancestors
 
 
@@ -39,8 +40,9 @@ def dead_code(nodes: DataFrame, edges: DataFrame, include_tests: bool = False, i
             n = n.where(~F.startswith(short, F.lit(p)))
     if "decorators" in nodes.columns:
         n = n.where(~F.coalesce(F.array_contains("decorators", "property"), F.lit(False)))
-    used = edges.select(F.col("target_id").alias("id")).distinct()
-    live = override_live(nodes, edges)
+    # both are read twice: written once, so that the plan holds the edges' own plan once each
+    used = shared_table(edges.select(F.col("target_id").alias("id")).distinct(), "used")
+    live = shared_table(override_live(nodes, edges), "live")
     n = n.join(used, "id", "left_anti").join(live, "id", "left_anti")
     # nested two levels deep in a method that is called or overrides
     alive = nodes.join(used.unionByName(live).distinct(), "id", "left_semi").select(F.col("name").alias("outer")).distinct()

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import router
+from .. import extract, router
 from ..functions import names as N
 from ..functions import tokens as T
 from ..operators import context, cycles, dead, delta, lookup, mutate, propagate, resolve, stats, traverse, versioning
+from ..session import shared_dir
+from ..streaming import changes, keystrokes, windows
+from . import samples
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,13 +27,10 @@ def query(sql: str | None = None, *views: str):
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            parts = [v.strip().rstrip(",") for v in views]
-            body = sql.strip()
-            if body.startswith("WITH "):
-                parts.append(body[5:].split("\n", 1)[0] if False else body[5:])
-                ORACLE_SQL[fn.__name__] = "WITH RECURSIVE " + ",\n".join(parts)
-            else:
-                ORACLE_SQL[fn.__name__] = ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
+            ctes, body = [v.strip() for v in views], sql.strip()
+            own = body.removeprefix("WITH ")
+            join = ",\n" if own != body else "\n"  # the query's own expressions follow the views'
+            ORACLE_SQL[fn.__name__] = ("WITH RECURSIVE " if ctes or own != body else "") + ",\n".join(ctes) + (join if ctes else "") + own
         return fn
 
     return add
@@ -497,7 +498,7 @@ def session_status(spark, sf):
 
 # --- modules, imports, targets -------------------------------------------------------------------
 
-_SUFFIX = """WITH f AS (SELECT file_path, min(ord) AS ord, list_filter(string_split(regexp_replace(file_path, '\\.[^./]*$', ''), '/'), x -> x <> '') AS parts FROM site GROUP BY file_path),
+_SUFFIX = """WITH f AS (SELECT file_path, min(ord) AS ord, list_filter(string_split(regexp_replace(file_path, '\\.[^./]*$', ''), '/'), lambda x: x <> '') AS parts FROM site GROUP BY file_path),
 sx AS (SELECT file_path, ord, array_to_string(parts[i:], '.') AS suffix FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM f))
 """
 
@@ -547,7 +548,7 @@ _RESOLVE = """WITH refs AS (SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey %
 imp AS (SELECT DISTINCT source_file AS file_path, target_file FROM fe WHERE edge_type = 'inherits'),
 cand AS (SELECT r.*, n.id AS target_id, n.line_start AS ord, n.name = r.name AS exact, n.file_path = r.file_path AS own, i.target_file IS NOT NULL AS known, n.file_path AS tf FROM refs r JOIN nodes n ON n.type = r.kind AND (n.name = r.name OR n.name LIKE '%.' || r.name) LEFT JOIN imp i ON i.file_path = r.file_path AND i.target_file = n.file_path),
 ranked AS (SELECT *, CASE WHEN own THEN CASE WHEN exact THEN 5 ELSE 8 END WHEN known THEN CASE WHEN exact THEN 3 ELSE 6 END ELSE CASE WHEN exact THEN 4 ELSE 7 END END AS rank,
-  len(list_filter(generate_series(1, 3), i -> string_split(file_path, '/')[:i] = string_split(tf, '/')[:i] AND len(string_split(tf, '/')) >= i)) AS shared FROM cand),
+  len(list_filter(generate_series(1, 3), lambda i: string_split(file_path, '/')[:i] = string_split(tf, '/')[:i] AND len(string_split(tf, '/')) >= i)) AS shared FROM cand),
 best AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank, CASE WHEN rank IN (4, 7) THEN -shared ELSE 0 END, CASE WHEN rank IN (4, 7) THEN ord ELSE -ord END, target_id) AS k, count(*) OVER (PARTITION BY ref_id) AS n FROM ranked)
 SELECT r.ref_id, r.name, b.target_id, CAST(b.rank AS BIGINT) AS rank, CASE b.rank WHEN 3 THEN 'high' WHEN 7 THEN 'low' WHEN 8 THEN 'low' WHEN 4 THEN 'medium' WHEN 5 THEN 'medium' WHEN 6 THEN 'medium' END AS confidence, b.n AS n_candidates FROM refs r LEFT JOIN best b ON b.ref_id = r.ref_id AND b.k = 1"""
 
@@ -748,14 +749,14 @@ def _tokens_of(spark, sf, table, key) -> DataFrame:
     return t.select(key, F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("token")).select(key, F.lower("token").alias("token")).distinct()
 
 
-@query(_MENTION + "SELECT item_id, token, count(*) AS n_docs FROM it JOIN dt USING (token) GROUP BY 1, 2", "")
+@query(_MENTION + "SELECT item_id, token, count(*) AS n_docs FROM it JOIN dt USING (token) GROUP BY 1, 2")
 def mention_scan(spark, sf):
     # documents are counted by token first: a common token is joined once, not once for each document
     n = _tokens_of(spark, sf, "documents", "doc_id").groupBy("token").agg(F.count("*").alias("n_docs"))
     return _tokens_of(spark, sf, "benchmark", "item_id").join(n, "token").select("item_id", "token", "n_docs")
 
 
-@query(_MENTION + "SELECT item_id, round(count(*) FILTER (token IN (SELECT token FROM dt)) / count(*), 6) AS accuracy, count(*) AS n_expected FROM it GROUP BY 1", "")
+@query(_MENTION + "SELECT item_id, round(count(*) FILTER (token IN (SELECT token FROM dt)) / count(*), 6) AS accuracy, count(*) AS n_expected FROM it GROUP BY 1")
 def accuracy_score(spark, sf):
     seen = _tokens_of(spark, sf, "documents", "doc_id").select("token").distinct().withColumn("hit", F.lit(True))
     i = _tokens_of(spark, sf, "benchmark", "item_id").join(seen, "token", "left")
@@ -770,7 +771,7 @@ def run_stats(spark, sf):
 
 # --- scopes --------------------------------------------------------------------------------------
 
-_SCOPES = "sc AS (SELECT p_partkey AS k, list_filter(string_split(p_type || ' ' || p_name, ' '), x -> x <> '') AS chain FROM part)"
+_SCOPES = "sc AS (SELECT p_partkey AS k, list_filter(string_split(p_type || ' ' || p_name, ' '), lambda x: x <> '') AS chain FROM part)"
 
 
 def _scopes(spark, sf) -> DataFrame:
@@ -865,7 +866,7 @@ def _route_sql() -> str:
     return f"WITH q(k, question) AS (VALUES {_values(_QUESTIONS)}), x AS (SELECT *, regexp_replace(trim(question), '\\?+$', '') AS t FROM q) SELECT k, question, CASE {' '.join(whens)} END AS command, CASE {' '.join(args)} END AS args FROM x"
 
 
-@query(_route_sql(), "")
+@query(_route_sql())
 def route_questions(spark, sf):
     q = spark.createDataFrame(list(enumerate(_QUESTIONS)), "k int, question string")
     return router.route_questions(q)
@@ -877,8 +878,97 @@ _PATTERNS = ["parse_file(", "from core import x", "import os", "def handle", "cl
 @query(
     f"""WITH q(k, pattern) AS (VALUES {_values(_PATTERNS)}), x AS (SELECT *, regexp_extract(pattern, '^(\\w+)\\s*\\\\?\\(', 1) AS a, regexp_extract(pattern, '^(?:from|import)\\s+(\\S+)', 1) AS b, regexp_extract(pattern, '^(?:def|class)\\s+(\\w+)', 1) AS c FROM q),
 y AS (SELECT k, pattern, CASE WHEN length(a) >= 2 AND NOT (upper(a) = a AND length(a) > 2) THEN 'callers' WHEN length(b) >= 2 AND NOT (upper(b) = b AND length(b) > 2) THEN 'rdeps' WHEN length(c) >= 2 AND NOT (upper(c) = c AND length(c) > 2) THEN 'entity' END AS command, a, b, c FROM x)
-SELECT k, pattern, command, CASE command WHEN 'callers' THEN a WHEN 'rdeps' THEN b WHEN 'entity' THEN c END AS name FROM y""",
-    "",
+SELECT k, pattern, command, CASE command WHEN 'callers' THEN a WHEN 'rdeps' THEN b WHEN 'entity' THEN c END AS name FROM y"""
 )
 def classify_grep(spark, sf):
     return router.classify_greps(spark.createDataFrame(list(enumerate(_PATTERNS)), "k int, pattern string"))
+
+
+# --- extraction, folds and streams: beyond SQL, tested against facts and plain versions -----------
+
+
+def _sources(spark, files: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(files.items()), "file_path string, content string")
+
+
+@query()
+def extract_python(spark, sf):
+    f = _sources(spark, {k: v for k, v in samples.FILES.items() if k.endswith(".py")})
+    return extract.extract_entities(f).select("file_path", "ord", "entity_type", "name", "line_start", "line_end", F.array_join("calls", ",").alias("calls"), F.array_join("inherits", ",").alias("inherits"))
+
+
+@query()
+def extract_regex_family(spark, sf):
+    f = _sources(spark, {k: v for k, v in samples.FILES.items() if not k.endswith(".py")})
+    return extract.extract_entities(f).select("file_path", "ord", "entity_type", "name", "line_start", "line_end", F.array_join("calls", ",").alias("calls"), F.array_join("inherits", ",").alias("inherits"))
+
+
+@query()
+def partial_parse(spark, sf):
+    return extract.parse_regions(_sources(spark, samples.BROKEN)).withColumn("names", F.array_join("names", ","))
+
+
+@query()
+def semantic_paths(spark, sf):
+    f = _sources(spark, {k: v for k, v in samples.FILES.items() if k.endswith(".py")})
+    return extract.semantic_paths(f).withColumn("scope_chain", F.array_join("scope_chain", "."))
+
+
+@query()
+def project_graph(spark, sf):
+    """The sample project from sources to edges: extraction, then resolution."""
+    f = _sources(spark, samples.FILES).withColumn("seq", F.lit(0).cast("bigint"))
+    n = changes.nodes_of(changes.entities_of(f.select("file_path", "seq", "content")))
+    e = changes.edges_of(n)
+    s, t = n.select(F.col("id").alias("source_id"), F.col("name").alias("source")), n.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file_path").alias("target_file"))
+    return e.join(s, "source_id").join(t, "target_id").select("source", "edge_type", "target", "target_file", "confidence")
+
+
+def _keys(spark, sf) -> DataFrame:
+    """Each turn of a conversation typed character by character, 40 ms apart, with pauses at spaces and lines."""
+    c = V.table(spark, sf, "conversations").where("text IS NOT NULL AND text <> ''")
+    k = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("session"), F.posexplode(F.split("text", "")).alias("seq", "ch")).where("ch <> ''")
+    pause = F.when(F.col("ch") == " ", 90).when(F.col("ch") == "\n", 260).otherwise(40)
+    return k.select("session", F.col("seq").cast("bigint").alias("seq"), "ch", (F.col("seq") * 40 + F.when(F.col("seq") % 17 == 0, pause).otherwise(0)).cast("double").alias("ms"))
+
+
+@query()
+def debounce_full(spark, sf):
+    t = keystrokes.tiers(_keys(spark, sf))
+    return t.groupBy("session", "tier").agg(F.count("*").alias("n"))
+
+
+@query()
+def stable_context(spark, sf):
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 60
+    r = V.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("seq"), at.alias("ms"), F.lit(0.8).alias("confidence"))
+    return keystrokes.stable_context(r)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS file, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_window(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("file"))
+    return windows.tumbling(e, "1 day", by="file").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS file, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+s AS (SELECT file, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ts) AS k FROM e)
+SELECT file, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY file, k"""
+)
+def stream_session_window(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("file"))
+    w = windows.sessions(e, "6 hours")
+    return w.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query()
+def stream_changes(spark, sf):
+    """The change pipeline over two batches of the sample project: the operations it logs."""
+    at = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/changes-{uuid.uuid4().hex}"
+    p = changes.ChangePipeline(spark, at)
+    first = _sources(spark, samples.FILES).select("file_path", F.lit(0).cast("bigint").alias("seq"), "content")
+    edited = {k: v.replace("def total(", "def sum_up(").replace("RATE = 0.2", "RATE = 0.3") for k, v in samples.FILES.items()}
+    p.process(first, 0)
+    p.process(_sources(spark, edited).select("file_path", F.lit(1).cast("bigint").alias("seq"), "content"), 1)
+    return p.ops().select("batch", "file_path", "seq", "op_type", "name", "old_name", "place")
