@@ -12,7 +12,7 @@ from .. import extract, router
 from ..functions import names as N
 from ..functions import tokens as T
 from ..operators import context, cycles, dead, delta, lookup, mutate, propagate, resolve, stats, traverse, versioning
-from ..session import shared_dir
+from ..session import shared_dir, shared_table
 from ..streaming import changes, keystrokes, windows
 from . import samples
 from . import views as V
@@ -211,7 +211,7 @@ _OUT, _IN = "SELECT DISTINCT source_id AS s, target_id AS t FROM edges", "SELECT
 
 
 def _walk(spark, sf, like, direction, depth, kinds=None):
-    n, e = _graph(spark, sf)
+    n, e = V.nodes(spark, sf), _written(spark, sf, *(kinds or ()))
     return traverse.traverse(n, e, _named(n, like), kinds, direction, depth).withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -241,7 +241,7 @@ SELECT id, id IN (SELECT id FROM walk) AS reachable FROM nodes WHERE type = 'cla
     G,
 )
 def reachable(spark, sf):
-    n, e = _graph(spark, sf)
+    n, e = V.nodes(spark, sf), _written(spark, sf)
     return traverse.reachable(e, _named(n, "%.c1"), n.where("type = 'class'"))
 
 
@@ -254,7 +254,7 @@ SELECT id, CAST(hops AS BIGINT) AS hops, path FROM (SELECT * FROM p0 UNION ALL S
     G,
 )
 def shortest_path(spark, sf):
-    n, e = _graph(spark, sf)
+    n, e = V.nodes(spark, sf), _written(spark, sf)
     return traverse.shortest_paths(e, _named(n, "%.c2"), max_depth=3).withColumn("hops", F.col("hops").cast("bigint"))
 
 
@@ -264,13 +264,19 @@ SELECT n.name, CAST(min(hops) AS BIGINT) AS hops FROM walk JOIN nodes n USING (i
 
 @query(_PATH_LEN, G)
 def shortest_path_len(spark, sf):
-    n, e = _graph(spark, sf)
+    n, e = V.nodes(spark, sf), _written(spark, sf)
     p = traverse.shortest_paths(e, _named(n, "%.c2"), max_depth=10)
     return n.where("type = 'class'").join(p, "id").select("name", F.col("hops").cast("bigint").alias("hops"))
 
 
 def _file_graph(spark, sf):
-    return lookup.file_edges(*_graph(spark, sf))
+    """The edges between files, written once: traversals read them in every round."""
+    return shared_table(lookup.file_edges(*_graph(spark, sf)), "files")
+
+
+def _written(spark, sf, *kinds: str) -> DataFrame:
+    """The edges, written once, for what reads them in every round."""
+    return shared_table(V.edges(spark, sf, *kinds), "graph")
 
 
 @query(
@@ -325,7 +331,7 @@ AND NOT EXISTS (SELECT 1 FROM edges WHERE target_id = n.id)"""
 
 @query(_DEAD, G)
 def dead_code(spark, sf):
-    return dead.dead_code(*_graph(spark, sf))
+    return dead.dead_code(V.nodes(spark, sf), _written(spark, sf))
 
 
 @query(
@@ -333,7 +339,7 @@ def dead_code(spark, sf):
     G,
 )
 def dead_code_all(spark, sf):
-    return dead.dead_code(*_graph(spark, sf), include_tests=True, include_framework=True, passive=("module_code",))
+    return dead.dead_code(V.nodes(spark, sf), _written(spark, sf), include_tests=True, include_framework=True, passive=("module_code",))
 
 
 def _methods(spark, sf) -> tuple[DataFrame, DataFrame]:
