@@ -10,7 +10,6 @@ on the driver; the scan is DataFrame functions over whole texts.
 
 from __future__ import annotations
 
-import json
 import random
 import re
 from collections import Counter
@@ -210,24 +209,24 @@ def scan(docs: DataFrame, min_probability: float = 0.5, min_similarity: float =
     C.need(docs, "doc_id", "text")
     m = fit()
     spark = docs.sparkSession
-    anchors = F.array(*map(F.lit, m.anchors))
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
     # every n-gram of the model holds an anchor: a line without one is unknown
-    worded = lines.withColumn("w", F.expr("filter(split(lower(line), '[^a-z0-9]+'), x -> x <> '')")).where(F.arrays_overlap("w", anchors))
+    worded = lines.withColumn("w", F.expr("filter(split(lower(line), '[^a-z0-9]+'), x -> x <> '')")).where(F.exists("w", lambda x: x.isin(list(m.anchors))))
     grams = F.expr("array_distinct(concat(" + ", ".join(f"IF(size(w) < {n}, CAST(array() AS ARRAY<STRING>), transform(sequence(0, size(w) - {n}), i -> array_join(slice(w, i + 1, {n}), ' ')))" for n in (2, 3)) + "))")
-    table = spark.createDataFrame([(g, i) for i, g in enumerate(m.grams)], "gram string, i int")  # fixed by TEMPLATES
-    part = worded.withColumn("g", grams).select("doc_id", "paragraph", "line", F.size("g").alias("total"), F.explode("g").alias("gram"))
-    hits = part.join(F.broadcast(table), "gram").groupBy("doc_id", "paragraph", "line", "total").agg(F.sort_array(F.collect_set("i")).alias("hits"))
-    weights = F.from_json(F.lit(json.dumps(m.weights.T.round(9).tolist())), "array<array<double>>")  # folded once
-
-    def logit(k: int):
-        hit = F.aggregate("hits", F.lit(0.0), lambda a, i: a + F.get(F.get("weights", F.lit(k)), i))
-        return (F.lit(float(m.bias[k])) + hit / F.sqrt(F.greatest("total", F.lit(1)))) / m.temperature
-
-    z = [logit(k) for k in range(len(m.families))]
-    scored = hits.withColumn("weights", weights).withColumn("z", F.array(*z)).drop("weights")
-    scored = scored.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int") - 1)
-    scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
+    table = spark.createDataFrame([(g, i, [float(x) for x in m.weights[i]]) for i, g in enumerate(m.grams)], "gram string, i int, weights array<double>")  # fixed by TEMPLATES
+    # outer: a filter on the array would be pushed below w and split the line for each n-gram
+    part = worded.withColumn("g", grams).select("doc_id", "paragraph", "line", F.size("g").alias("total"), F.explode_outer("g").alias("gram"))
+    line = ["doc_id", "paragraph", "line", "total"]
+    hits = part.join(F.broadcast(table), "gram").dropDuplicates([*line, "i"])
+    n = len(m.families)
+    sums = hits.groupBy(*line).agg(F.sort_array(F.collect_list("i")).alias("hits"), *[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(n)])
+    z = [f"z{k}" for k in range(n)]
+    scored = sums.select("*", *[((F.lit(float(m.bias[k])) + F.col(f"s{k}") / F.sqrt(F.greatest("total", F.lit(1)))) / m.temperature).alias(z[k]) for k in range(n)])
+    best = F.lit(n - 1)
+    for k in reversed(range(n)):
+        best = F.when(F.col(z[k]) == F.col("top"), k).otherwise(best)
+    scored = scored.withColumn("top", F.greatest(*z)).withColumn("best", best)
+    scored = scored.withColumn("probability", 1 / sum((F.exp(F.col(x) - F.col("top")) for x in z), F.lit(0.0)))
     index = {g: i for i, g in enumerate(m.grams)}
     similar = F.lit(0.0)
     for k, f in enumerate(m.families[:-1]):
