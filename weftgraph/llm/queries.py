@@ -77,4 +77,32 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_simhash, op4_line_dedup, op5_language_id, op6_license_scan, op7_substring_dedup, op8_decontamination, op9_quality_classifier, op10_secret_scan)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+#: DuckDB's form of the queries that SQL can express, over the whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.*, h.keeper IS NOT NULL AND k.doc_id <> h.keeper AS gone FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
+    "op7_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM win WHERE s IN (SELECT s FROM rep)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM w),
+y AS (SELECT x.doc_id, count(cov.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (cov.p IS NULL) AS kept FROM x LEFT JOIN cov ON x.doc_id = cov.doc_id AND x.p = cov.p GROUP BY x.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y USING (doc_id)
+""",
+    "op8_decontamination": f"""
+WITH i AS (SELECT item_id, {_TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM i WHERE len(w) >= 5)),
+sd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM d WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id), f AS (SELECT doc_id, item_id, count(*) AS n_found FROM sd JOIN si USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment FROM f JOIN n USING (item_id) WHERE n_found * 100 >= n_shingles * 80
+""",
+}
