@@ -86,9 +86,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
         yield batch.slice(start, n - start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept for the next stage, beside its own."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow``, after which the worker holds no more than it needs."""
     on_workers(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def sql_type(df: DataFrame, name: str) -> str:

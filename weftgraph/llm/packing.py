@@ -18,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Words whose ids a worker keeps at most.
-CACHED_WORDS = 400_000
 _TOKENIZERS: dict[str, tuple] = {}
+#: The ids of plain words that a worker remembers, and how many it may.
+_WORDS: dict[str, dict[str, bytes]] = {}
+CACHED_WORDS = 300_000
+#: Letters that no normalisation changes in number, and punctuation that is a word of its own.
+_LETTERS, _STOPS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -35,65 +39,154 @@ def default_tokenizer() -> str:
 
 
 def _tokenizer(path: str) -> tuple:
+    """The tokenizer; which of its ids end a word; a special token and its id. None for what it does not have."""
     if path not in _TOKENIZERS:
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        vocabulary = tok.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        encode = lambda t: tok.encode(t, add_special_tokens=False).ids
+        # what the shortcuts below rest on: words of letters end once, case and spaces do not matter,
+        # and texts on the two sides of a special token do not touch
+        probe = encode("Abcd e\u00c9f")
+        marked = probe == encode("abcd") + encode("e\u00e9f") and int(ends[probe].sum()) == 2
+        mark = next(((t.content, i) for i, t in sorted(tok.get_added_tokens_decoder().items(), reverse=True) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        if mark and encode(f"a's{mark[0]}'s{mark[0]}{mark[0]}b") != [*encode("a's"), mark[1], *encode("'s"), mark[1], mark[1], *encode("b")]:
+            mark = None
+        _TOKENIZERS[path] = (tok, ends if marked else None, mark)
     return _TOKENIZERS[path]
 
 
-def encode_texts(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+def _parts(tok, words: list[str], between: str, step: int, cut) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words encoded many at once, and how many each has; ``cut`` tells where words end in the ids."""
+    flat, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for lo in range(0, len(words), step):
+        part = words[lo : lo + step]
+        ids = np.array(tok.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids, n = cut(ids)
+        if len(n) != len(part):
+            raise ValueError("the tokenizer does not keep words apart")
+        flat.append(ids)
+        size.append(n)
+    return np.concatenate(flat), np.concatenate(size)
+
+
+def _known_words(path: str, words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode`` gives for ``words``, of which a worker remembers some; beyond CACHED_WORDS those last seen twice."""
+    known = _WORDS.setdefault(path, {})
+    fresh = [w for w in words if w not in known]
+    ids, n = encode(fresh) if fresh else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    raw, stop = ids.tobytes(), np.cumsum(n) * 4
+    new = {w: raw[a:b] for w, a, b in zip(fresh, [0, *stop.tolist()], stop.tolist(), strict=False)}
+    if len(known) + len(new) > CACHED_WORDS:
+        often = {w: known[w] for w in words if w in known}
+        known.clear()
+        known.update(often)
+    table = known if len(known) + len(new) <= CACHED_WORDS else dict(known)
+    table.update(new)
+    parts = [table[w] for w in words]
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+
+
+def _whole(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of any words, one after another, and how many each has."""
+    tok, _, mark = _tokenizer(path)
+    if mark and not any(mark[0][:2] in w for w in words):
+
+        def cut(ids):
+            at = np.flatnonzero(ids == mark[1])
+            return ids[ids != mark[1]], np.diff(np.r_[-1, at, len(ids)]) - 1
+
+        return _parts(tok, words, mark[0], 2000, cut)
+    ids = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    return np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
 
-    For tokenizers that drop white space: no token crosses it, so a text's ids are those of its
-    words in turn, and each distinct word is encoded once.
+
+def encode_array(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another (then ``end_id`` after each), and where each text's start and end.
+
+    For tokenizers that drop white space: no token crosses it, so a text's ids are those of its words
+    in turn. Words are split and numbered by Arrow, and each distinct one is encoded once: of plain
+    words the letters, without regard to case, apart from the punctuation after them. Ids are then
+    gathered by number.
     """
-    tok, known = _tokenizer(path)
-    words = [t.split() for t in texts]
-    fresh: set[bytes] = set()
-    for w in words:
-        fresh.update(w)
-    fresh.difference_update(known)
-    if len(known) + len(fresh) > CACHED_WORDS:
-        known.clear()
-        fresh = set().union(*words)
-    table = known
-    if len(fresh) > CACHED_WORDS:  # of one batch with a very large vocabulary
-        table = {}
-    order = list(fresh)
-    for i in range(0, len(order), 20_000):
-        part = order[i : i + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-            table[w] = np.array(e.ids, dtype="<u4").tobytes()
-    for w in words:
-        yield b"".join(map(table.__getitem__, w))
+    tok, ends, _ = _tokenizer(path)
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = lists.flatten().dictionary_encode()
+    number = coded.indices.to_numpy()
+    cut = lists.offsets.to_numpy()
+    cut = cut - cut[0]
+    words = coded.dictionary
+    plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+[{_STOPS}]*$") if ends is not None else pa.array(np.zeros(len(words), bool))
+    simple = words.filter(plain)
+    letters = pc.utf8_lower(pc.utf8_rtrim(simple, _STOPS)).dictionary_encode()
+    tails = pc.replace_substring_regex(simple, f"^[{_LETTERS}]+", "").dictionary_encode()
+
+    def cut_words(ids):
+        at = np.flatnonzero(ends[ids]) + 1
+        return ids, np.diff(np.r_[0, at])
+
+    tables = [
+        _known_words(path, letters.dictionary.to_pylist(), lambda fresh: _parts(tok, fresh, " ", 4000, cut_words)),
+        _whole(path, tails.dictionary.to_pylist()),
+        _whole(path, words.filter(pc.invert(plain)).to_pylist()),
+        (np.array([] if end_id is None else [end_id], dtype="<u4"), np.array([0 if end_id is None else 1], dtype=np.int64)),
+    ]
+    size = np.concatenate([n for _, n in tables])
+    flat = np.concatenate([ids for ids, _ in tables])
+    begin = np.cumsum([0, *(len(n) for _, n in tables)])
+    first = np.cumsum(size) - size
+    # a word is its letters and its tail; other words, and the end of a text, have an empty second unit
+    units = np.zeros((len(words), 2), dtype=np.int64)
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    size, first = np.r_[size, 0], np.r_[first, 0]
+    units[:, 1] = len(size) - 1
+    units[is_plain, 0] = letters.indices.to_numpy()
+    units[is_plain, 1] = begin[1] + tails.indices.to_numpy()
+    units[~is_plain, 0] = begin[2] + np.arange(int((~is_plain).sum()))
+    seq = units[number]
+    if end_id is not None:
+        seq = np.insert(seq, cut[1:], [begin[3], len(size) - 1], axis=0)
+        cut = cut + np.arange(len(cut))
+    seq = seq.reshape(-1)
+    n = size[seq]
+    stop = np.cumsum(n)
+    ids = flat[np.repeat(first[seq] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+    return ids, np.r_[0, stop][2 * cut]
+
+
+def encode_texts(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers."""
+    ids, cut = encode_array(pa.array(texts, pa.binary()).cast(pa.string()), path)
+    for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+        yield ids[lo:hi].tobytes()
 
 
 def tokenise(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, keep_ids: bool) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document, null text as empty."""
     kind = C.sql_type(docs, "doc_id")
-    end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches):
-        for b in C.slices(batches, size=8_000_000):
-            rows: list[list] = [[], [], [], [], []]
-            ids: list[bytes] = []
-            at: list[int] = []
-            for i, x in enumerate(encode_texts(C.utf8(b.column("text")), tokenizer)):
-                x += end
-                for k, lo in enumerate(range(0, len(x), step)):
-                    part = x[lo : lo + step]
-                    at.append(i)
-                    for col, v in zip(rows, (k, lo // 4, len(part) // 4, zlib.crc32(part)), strict=False):
-                        col.append(v)
-                    if keep_ids:
-                        ids.append(part)
-            cols = [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(rows[0], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[1:4])]
+        for b in C.slices(batches, size=5_000_000):
+            tokens, cut = encode_array(b.column("text"), tokenizer, end_id)
+            n = np.diff(cut)
+            pieces = -(-n // capacity)
+            at = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, n[at] - start)
+            lo = (cut[:-1][at] + start).tolist()
+            hi = [x + y for x, y in zip(lo, length.tolist(), strict=True)]
+            crc = [zlib.crc32(tokens[x:y]) for x, y in zip(lo, hi, strict=True)]
+            cols = [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
+            ids = [pa.array([tokens[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())] if keep_ids else []
+            yield pa.RecordBatch.from_arrays(cols + ids, names + ["ids"] * keep_ids)
 
     return C.map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
 
