@@ -35,7 +35,7 @@ def item_sketches(items: DataFrame, words: int, percent: int) -> DataFrame:
     t = t.withColumn("top", F.expr("shiftleft(2, CAST(floor(log2(n)) AS INT)) - 1"))  # the largest size in the partition
     t = t.withColumn("k", F.expr(f"CAST(floor(top * {100 - percent} / 100) AS INT) + 1"))
     t = t.withColumn("sketch", F.expr("slice(sort_array(array_distinct(h)), 1, k)"))
-    return t.select(F.explode("sketch").alias("key"), "item_id", "shingles", "n")
+    return t.select(F.explode_outer("sketch").alias("key"), "item_id", "shingles", "n").where("key IS NOT NULL")
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, in_line_keys: int = 20_000) -> DataFrame:
