@@ -294,3 +294,19 @@ def test_nested_context_and_summary(small):
 def test_exports_prefer_the_list(spark):
     n = spark.createDataFrame([("1", "variable", "__all__", "a.py", 1, ["x"]), ("2", "function", "x", "a.py", 2, None), ("3", "function", "y", "a.py", 3, None), ("4", "function", "z", "b.py", 1, None), ("5", "function", "K.z", "b.py", 1, None)], NODE + ", uses array<string>")
     assert values(lookup.exports(n), "file_path", "name") == [("a.py", "x"), ("b.py", "z")]
+
+
+def test_rich_context_fits(small):
+    text = context.rich_context(*small, "s.py", 200)
+    assert text.startswith("s.py: 3fn 0cls") and len(text) <= 200 and "deps: m.py" in text
+    assert context.rich_context(*small, "nowhere.py") == ""
+    assert "affects: c.py, s.py" in context.rich_context(*small, "m.py")
+
+
+def test_naive_rebuild_baseline(spark, small):
+    from weftgraph.operators import reports
+
+    refs = spark.createDataFrame([("d", "handle"), ("d", "nope")], "source_id string, name string")
+    assert values(reports.naive_calls(small[0], refs), "source_id", "target_id") == [("d", "c")]
+    f = spark.createDataFrame([("a/util.py", "x"), ("b.py", "import util"), ("c.py", "none")], "file_path string, content string")
+    assert values(reports.naive_affected(f, "a/util.py"), "file_path") == [("b.py",)]

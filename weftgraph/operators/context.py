@@ -92,3 +92,43 @@ def summary(nodes: DataFrame, edges: DataFrame, k: int = 10) -> dict:
     kinds = {r["type"]: r["n"] for r in nodes.groupBy("type").agg(F.count("*").alias("n")).collect()}
     cross = cross_edges(nodes, edges).select("source_name", "edge_type", "target_name", "target_file").orderBy("source_name", "edge_type", "target_name").limit(k).collect()
     return {"types": kinds, "edges": edges.count(), "files": nodes.select("file_path").distinct().count(), "cross": [f"{r[0]} --{r[1]}--> {r[2]} ({r[3]})" for r in cross]}
+
+
+def format_node(kind: Column, name: Column, path: Column, line: Column) -> Column:
+    """``[type] name (file:line)``."""
+    return F.concat(F.lit("["), kind, F.lit("] "), name, F.lit(" ("), path, F.lit(":"), line.cast("string"), F.lit(")"))
+
+
+def rich_context(nodes: DataFrame, edges: DataFrame, path: str, budget: int = 2000) -> str:
+    """A file's context as text of at most ``budget`` characters: header, key entities, callees, files it affects.
+
+    Each list is cut to a few rows before it reaches the driver; a part that does not fit is left out whole.
+    """
+    from .lookup import file_edges, resolve_file
+
+    found = resolve_file(nodes, path).first()
+    if found is None:
+        return ""
+    at = found["file_path"]
+    own = nodes.where(F.col("file_path") == at)
+    kinds = {r["type"]: r["n"] for r in own.groupBy("type").agg(F.count("*").alias("n")).collect()}
+    parts = [f"{at.rsplit('/', 1)[-1]}: {kinds.get('function', 0)}fn {kinds.get('class', 0)}cls"]
+
+    def add(lines: list[str], share: int) -> None:
+        used = 0
+        for x in lines:
+            if used + len(x) <= share and sum(map(len, parts)) + len(parts) + len(x) <= budget:
+                parts.append(x)
+                used += len(x)
+
+    keys = [r for r in key_entities(own, edges.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")).orderBy("place").collect()]
+    add([f"{r['type']} {r['name']} :{r['line_start']}" for r in keys], (budget - len(parts[0])) // 5)
+    f = file_edges(nodes, edges)
+    deps = [r["target_file"] for r in f.where(F.col("source_file") == at).select("target_file").distinct().orderBy("target_file").limit(6).collect()]
+    if deps:
+        shown = [d.rsplit("/", 1)[-1] for d in deps]
+        add(["deps: " + ", ".join(shown if len(shown) <= 5 else [*shown[:4], "+more"])], budget // 5)
+    listed = affected_grouping(f.where(F.col("target_file") == at).select("target_file", F.col("source_file").alias("file_path")), "target_file").first()
+    if listed:
+        add(["affects: " + listed["listed"]], budget // 5)
+    return "\n".join(parts)

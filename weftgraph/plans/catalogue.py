@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import extract, router
 from ..functions import names as N
 from ..functions import tokens as T
-from ..operators import context, cycles, dead, delta, lookup, mutate, propagate, resolve, stats, traverse, versioning
+from ..operators import context, cycles, dead, delta, lookup, mutate, propagate, reports, resolve, stats, traverse, versioning
 from ..session import shared_dir, shared_table
 from ..streaming import changes, keystrokes, windows
 from . import samples
@@ -679,6 +679,12 @@ def propagation_phases(spark, sf):
     return propagate.phases(_prioritised(spark, sf)).withColumn("place", F.col("place").cast("bigint"))
 
 
+@query(_PRIO + "SELECT file_path, priority FROM p ORDER BY priority, depth, file_path LIMIT 10", G)
+def async_drain(spark, sf):
+    p = _prioritised(spark, sf)
+    return lookup.top_k(p, 10, F.col("priority"), F.col("depth"), F.col("file_path")).select("file_path", "priority")
+
+
 _ZONES = """WITH acts AS (SELECT file, version, CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'close' WHEN 'view' THEN 'open' ELSE 'access' END AS action FROM log),
 lst AS (SELECT file, arg_max(action, version) AS action, max(version) AS version FROM acts GROUP BY 1), hot AS (SELECT file FROM lst WHERE action = 'open' ORDER BY version DESC, file LIMIT 10),
 z AS (SELECT file, CASE WHEN file IN (SELECT file FROM hot) THEN 'HOT' ELSE 'WARM' END AS zone FROM lst)
@@ -771,8 +777,42 @@ def accuracy_score(spark, sf):
 
 @query("SELECT o_orderpriority AS test_id, o_orderstatus AS mode, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std FROM orders GROUP BY 1, 2")
 def run_stats(spark, sf):
-    o = V.table(spark, sf, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("test_id"), F.col("o_orderstatus").alias("mode")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("std"))
+    o = V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("test_id"), F.col("o_orderstatus").alias("mode"), "o_totalprice")
+    return reports.mean_and_spread(o, ["test_id", "mode"], "o_totalprice")
+
+
+@query("SELECT conv_id, round((sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) / 4 * 3.0 + sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) / 4 * 15.0) / 1000000, 8) AS cost FROM conversations GROUP BY 1")
+def cost_estimate(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    size = lambda r: F.sum(F.when(F.col("role") == r, F.length("text")).otherwise(0)) / 4
+    return c.groupBy("conv_id").agg(F.round(reports.cost(size("user"), size("assistant")), 8).alias("cost"))
+
+
+@query("""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href="[^"]*"'))) AS BIGINT) AS n_references FROM pages""")
+def file_references(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", reports.references(F.col("html"), 'href="[^"]*"').cast("bigint").alias("n_references"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM documents) GROUP BY 1")
+def camel_words(spark, sf):
+    return V.table(spark, sf, "documents").select(F.explode(reports.camel_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT s.id AS source_id, arg_min(t.id, t.file_path || lpad(CAST(t.line_start AS VARCHAR), 20, '0') || t.id) AS target_id
+FROM nodes s JOIN nodes t ON t.type = 'function' AND t.name = replace(s.name, '.c', '.s') WHERE s.type = 'function' AND s.name LIKE '%.c%' GROUP BY 1""",
+    G,
+)
+def naive_calls(spark, sf):
+    n = V.nodes(spark, sf)
+    r = n.where("type = 'function' AND name LIKE '%.c%'").select(F.col("id").alias("source_id"), F.replace("name", F.lit(".c"), F.lit(".s")).alias("name"))
+    return reports.naive_calls(n, r)
+
+
+@query("SELECT id, '[' || type || '] ' || name || ' (' || file_path || ':' || line_start || ')' AS text FROM nodes", G)
+def format_nodes(spark, sf):
+    n = V.nodes(spark, sf)
+    return n.select("id", context.format_node(F.col("type"), F.col("name"), F.col("file_path"), F.col("line_start")).alias("text"))
 
 
 # --- scopes --------------------------------------------------------------------------------------
