@@ -18,12 +18,22 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return b.config(map=settings).getOrCreate()
 
 
+#: Bytes of a batch that a worker gets at once (one row at least); a session may set another size.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+#: What keeps workers small: freed memory goes back to the system, and threads share one heap.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072"}
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this repository, wherever the driver was started, and keep them small."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
+    if str(spark.conf.get(BATCH_KEY)) in (str(BATCH_DEFAULT), f"{BATCH_DEFAULT}b", "64m", "64MB"):
+        spark.conf.set(BATCH_KEY, BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
