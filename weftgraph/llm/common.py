@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import on_workers, shared_dir, shared_table
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,24 +17,9 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this repository, wherever the driver was started."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = ":".join([ROOT, *paths])
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all machines share.
-
-    Only where the session does not name one (tests, one machine) is a local folder made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("weftgraph.scratch", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("weftgraph.scratch", at)
-    return at.rstrip("/")
+    """The folder in ``spark.checkpoint.dir``, which all machines share (a local one only where it is unset)."""
+    return shared_dir(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -46,11 +28,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage and lets several consumers use one computation. The files are on shared
     storage, so that a lost executor loses nothing of it.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return shared_table(df, name)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Bytes of text whose n-grams are in memory at once: each takes some 50 bytes, three start at a character.
+SLICE = 500_000
 _LETTER: list[np.ndarray] = []
 
 
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = 2000, max_languages:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in C.slices(batches, size=2_000_000):
+        for b in C.slices(batches, size=SLICE):
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             doc, bucket, _ = grams(texts, bits, orders)
             which = np.array([languages.index(x) for x in langs])[doc] if len(doc) else doc
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     text = next(c for c in rest.columns if c.lower() == "text")
 
     def run(batches):
-        for b in C.slices(batches, text, size=2_000_000):
+        for b in C.slices(batches, text, size=SLICE):
             names, score = held.value.score([t or "" for t in b.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
