@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import common as C
@@ -18,6 +18,17 @@ from weftgraph.llm import contamination, langid, lines, packing, simhash
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _aside(docs: DataFrame, *taken: str) -> DataFrame:
+    """``docs`` with its columns of names that an operator adds under other names, for ``_back``."""
+    return docs.select(*[docs[f"`{c}`"].alias(f"__own_{c}" if c.lower() in taken else c) for c in docs.columns])
+
+
+def _back(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs``, with their own values but for those changed."""
+    own = lambda c: df[f"`__own_{c}`" if f"__own_{c}" in df.columns else f"`{c}`"]
+    return df.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is told with MIN_LANGUAGE_SCORE or more.
 
@@ -27,18 +38,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     C.on_workers(spark)
     model = langid.fit(docs, train=F.lit(True))
-    told = langid.identify(C.without(docs, "lang_pred", "score"), model)
+    told = langid.identify(_aside(docs, "lang_pred", "score"), model)
     kept = F.col("text").rlike(r"\p{L}") if not model.languages else (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return told.where(kept).select(*[told[f"`{c}`"] for c in docs.columns])
+    return _back(told.where(kept), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; n_chars follows the text. A document that loses all of its text goes."""
     C.on_workers(spark)
-    out = lines.drop_repeated_lines(docs)
+    out = lines.drop_repeated_lines(_aside(docs, "n_lines", "n_dropped"))
     gone = (F.col("n_dropped") > 0) & (F.trim(F.translate("text", C.SPACE, " ")) == "")
-    size = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.where(~gone).select(*[size if c == "n_chars" else out[f"`{c}`"] for c in docs.columns])
+    changed = {}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return _back(out.where(~gone), docs, **changed)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

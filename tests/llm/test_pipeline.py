@@ -56,6 +56,14 @@ def test_packing_stage(spark, sf, five, rows):
     assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(k for k, *_ in rows)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES[:-1]])
+def test_stages_keep_extra_columns(spark, sf, docs, name):
+    """Columns that are called as those that operators add keep their own values."""
+    out = dict(P.STAGES)[name](spark, docs, sf)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.select("score", "n_lines", "n_dropped", "lang_pred", "component_id").distinct().collect()} == {("clash",) * 5}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_stages_take_empty_tables(spark, sf, five, name):
     assert dict(P.STAGES)[name](spark, five.where("false"), sf).count() == 0
