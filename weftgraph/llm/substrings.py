@@ -27,7 +27,7 @@ from . import common as C
 CELL_BITS = 24
 DEPTH = 2
 #: Minimisers, or windows, that a range should hold.
-RANGE = 1 << 19
+RANGE = 1 << 20
 _KNOWN: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -135,11 +135,27 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(x.astype(kind)).tobytes()
+    """The bytes of an array by significance: those that hardly vary lie together and compress away."""
+    a = np.ascontiguousarray(x.astype(kind))
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), dtype=kind)
+    return np.concatenate([_unpacked(r[name], kind) for r in rows])
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Places as differences, small where rows lie in the order of the texts."""
+    return _packed(np.diff(x, prepend=0), "<i4")
+
+
+def _stepped(rows: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([np.cumsum(_unpacked(r[name], "<i4"), dtype=np.int64) for r in rows])
 
 
 def _answers(doc_key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -148,7 +164,7 @@ def _answers(doc_key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     keys, out = [], []
     for k, i in _cut(order, doc_key):
         keys.append(k)
-        out.append(_packed(at[i], "<u4"))
+        out.append(at[i].astype("<u4").tobytes())
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc", "at"])
 
 
@@ -162,7 +178,7 @@ def _sketches(ranges: int, window: int, gram: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, rows=4000, size=6_000_000):
+        for b in C.slices(batches, size=4_000_000):
             w = Windows(C.utf8(b.column("text")), window, gram)
             at = w.minimisers()
             if not len(at):
@@ -175,14 +191,15 @@ def _sketches(ranges: int, window: int, gram: int):
             twice = n[inverse] > 1
             cols: list[list] = [[], [], [], [], []]
             for d, i in _cut(np.flatnonzero(twice), doc):
-                for c, x in zip(cols, (-1, b"", key[d : d + 1].tobytes(), _packed(place[i], "<u4"), b""), strict=True):
+                for c, x in zip(cols, (-1, b"", key[d : d + 1].tobytes(), _steps(place[i]), b""), strict=True):
                     c.append(x)
-            i = first
+            i = np.sort(first)  # in the order of the texts
+            times = np.minimum(n[inverse[i]], 2)
             bucket = _range_of(h[i], ranges)
             cells = _cells(h[i])
             for r, j in _cut(np.argsort(bucket, kind="stable"), bucket):
                 k = i[j]
-                for c, x in zip(cols, (r, b"".join(_packed(x[j], "<u4") for x in cells), _packed(key[doc[k]], "<i8"), _packed(place[k], "<u4"), _packed(np.minimum(n[j], 2), "u1")), strict=True):
+                for c, x in zip(cols, (r, b"".join(_packed(x[j], "<u4") for x in cells), _packed(key[doc[k]], "<i8"), _steps(place[k]), _packed(times[j], "u1")), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["range", "cells", "docs", "at", "n"])
 
@@ -192,15 +209,15 @@ def _sketches(ranges: int, window: int, gram: int):
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge a range's sketches; the places whose every cell counts two or more."""
     for r, rows in _by_range(batches):
-        docs, at = _joined(rows, "docs", "<i8"), _joined(rows, "at", "<u4")
+        at = _stepped(rows, "at")
         if r < 0:
             docs = np.concatenate([np.repeat(np.frombuffer(x["docs"], "<i8"), len(x["at"]) // 4) for x in rows])
             yield _answers(docs, at)
             continue
-        n = _joined(rows, "n", "u1")
+        docs, n = _joined(rows, "docs", "<i8"), _joined(rows, "n", "u1")
         hot = n == 1  # those with more are answered already
         for k in range(DEPTH):
-            cell = np.concatenate([np.frombuffer(x["cells"], "<u4").reshape(DEPTH, -1)[k] for x in rows])
+            cell = np.concatenate([_unpacked(x["cells"][k * (len(x["cells"]) // DEPTH) : (k + 1) * (len(x["cells"]) // DEPTH)], "<u4") for x in rows])
             _, inverse = np.unique(cell, return_inverse=True)
             hot &= np.bincount(inverse, weights=n)[inverse] >= 2
         if hot.any():
@@ -211,13 +228,13 @@ def _exact(ranges: int, window: int, gram: int):
     """The windows around the places found, hashed whole; rows as in ``_sketches``, with hashes for cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, rows=4000, size=6_000_000):
-            w = Windows(C.utf8(b.column("text")), window, gram)
+        for b in C.slices(batches, "__text", size=4_000_000):
+            w = Windows(C.utf8(b.column("__text")), window, gram)
             if not w.valid.any():
                 continue
-            key = b.column("doc").to_numpy()
+            key = b.column("__row").to_numpy()
             mark = np.zeros(len(w.low), dtype=bool)
-            for d, packed in enumerate(b.column("at").to_pylist()):
+            for d, packed in enumerate(b.column("__at").to_pylist()):
                 hot = np.unique(w.gram[np.frombuffer(b"".join(packed), "<u4").astype(np.int64) + w.first[d]])
                 s, e = int(w.first[d]), min(int(w.first[d]) + len(w.words[d]), len(w.low))
                 part = w.low[s:e]
@@ -240,12 +257,14 @@ def _exact(ranges: int, window: int, gram: int):
             first[group[::-1]] = np.arange(len(at))[::-1]
             cols: list[list] = [[], [], [], [], [], []]
             for d, i in _cut(np.flatnonzero(n[group] > 1), doc):
-                for c, x in zip(cols, (-1, b"", b"", key[d : d + 1].tobytes(), _packed(place[i], "<u4"), b""), strict=True):
+                for c, x in zip(cols, (-1, b"", b"", key[d : d + 1].tobytes(), _steps(place[i]), b""), strict=True):
                     c.append(x)
+            first = np.sort(first)  # in the order of the texts
+            times = np.minimum(n[group[first]], 2)
             bucket = _range_of(low[first], ranges)
             for r, j in _cut(np.argsort(bucket, kind="stable"), bucket):
                 k = first[j]
-                for c, x in zip(cols, (r, _packed(low[k], "<u8"), _packed(whole[k], "<u8"), _packed(key[doc[k]], "<i8"), _packed(place[k], "<u4"), _packed(np.minimum(n[j], 2), "u1")), strict=True):
+                for c, x in zip(cols, (r, _packed(low[k], "<u8"), _packed(whole[k], "<u8"), _packed(key[doc[k]], "<i8"), _steps(place[k]), _packed(times[j], "u1")), strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["range", "low", "whole", "docs", "at", "n"])
 
@@ -254,7 +273,7 @@ def _exact(ranges: int, window: int, gram: int):
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for r, rows in _by_range(batches):
-        at = _joined(rows, "at", "<u4")
+        at = _stepped(rows, "at")
         if r < 0:
             yield _answers(np.concatenate([np.repeat(np.frombuffer(x["docs"], "<i8"), len(x["at"]) // 4) for x in rows]), at)
             continue
@@ -316,13 +335,14 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, gram: int = 20) ->
     sketch = C.map_batches(keyed, _sketches(ranges, window, gram), "range int, cells binary, docs binary, at binary, n binary")
     spread = F.when(F.col("range") < 0, F.xxhash64("docs")).otherwise(F.lit(0))
     dealt = sketch.repartition(n, "range", spread).sortWithinPartitions("range")
-    places = C.map_batches(dealt, _estimate, _ANSWER).groupBy("doc").agg(F.collect_list("at").alias("at"))  # bounded by a document's own places
-    some = keyed.join(places, "doc")
-    exact = C.map_batches(some, _exact(ranges, window, gram), "range int, low binary, whole binary, docs binary, at binary, n binary")
-    dealt = exact.repartition(n, "range", spread).sortWithinPartitions("range")
-    starts = C.materialise(C.map_batches(dealt, _decide, _ANSWER), "starts").groupBy(F.col("doc").alias("__row")).agg(F.collect_list("at").alias("__at"))
+    answered = lambda df: df.groupBy(F.col("doc").alias("__row")).agg(F.collect_list("at").alias("__at"))  # noqa: E731  bounded by a document's own places
+    places = answered(C.map_batches(dealt, _estimate, _ANSWER))
     rest = C.without(docs, "text", "n_words", "n_removed").columns
+    # both joins take the same rows with the same columns, so that the texts are shuffled once
     all_rows = docs.select(*[docs[f"`{c}`"] for c in rest], docs["text"].alias("__text"), row.alias("__row"))
+    exact = C.map_batches(all_rows.join(places, "__row"), _exact(ranges, window, gram), "range int, low binary, whole binary, docs binary, at binary, n binary")
+    dealt = exact.repartition(n, "range", spread).sortWithinPartitions("range")
+    starts = answered(C.map_batches(dealt, _decide, _ANSWER))
     joined = all_rows.join(starts, "__row", "left").drop("__row")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = C.map_batches(joined, _remove(window), f"{fields}, text string, n_words bigint, n_removed bigint")
