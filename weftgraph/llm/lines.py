@@ -71,6 +71,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     keyed = C.materialise(keyed, "lines")
     # distinct documents first, dealt by (key, document): a line that every document holds is no hot group
     found = keyed.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.sum("one").alias("n"), F.min("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # written first: beside a plain shuffle, the rows of a line that is everywhere can be split in the join
+    found = C.materialise(found.select("key", "keeper"), "repeated")
     doomed = keyed.join(found.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))  # bounded by a document's own lines
     rest = [c for c in C.without(docs, "text", "n_lines", "n_dropped").columns]
