@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, max_ro
     rows = docs.select("doc_id", "text", _inputs(docs)).join(F.broadcast(taken), "doc_id")  # bounded by max_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, size=4_000_000):
+        for b in C.slices(batches, size=1_000_000):
             doc, feat, value = features(C.utf8(b.column("text")), _sizes(b))
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
             f = [feat[s:e].astype("<u4").tobytes() for s, e in zip(cut, cut[1:], strict=False)]
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
     chars = next((c for c in rest.columns if c.lower() == "n_chars"), None)
 
     def run(batches):
-        for b in C.slices(batches, text, size=4_000_000):
+        for b in C.slices(batches, text, size=1_000_000):
             sizes = b.column(chars).to_pylist() if chars else [None] * b.num_rows
             s = held.value.score(C.utf8(b.column(text)), sizes)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
