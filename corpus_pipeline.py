@@ -55,21 +55,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the row with the smallest doc_id (nulls last).
+    """Keeps of each near-duplicate group the row with the smallest doc_id (nulls last; ties: by the text's hash).
 
-    Of rows that repeat that doc_id one stays.
+    Rows are told apart by doc_id and text: those that share a doc_id, or have none, stay each unless
+    they are near-duplicates. Of rows that repeat both one stays.
     """
     C.on_workers(spark)
-    keys = simhash.near_duplicates(docs)
-    keep = keys.groupBy("component_id").agg(F.min("doc_id").alias("__keep")).select("__keep")
-    chosen = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.struct(F.isnull("doc_id").alias("absent"), F.col("doc_id").alias("id"), C.text_key().alias("key"))
+    keys = simhash.near_duplicates(docs.select(row.alias("doc_id"), "text"))
+    keep = keys.select(F.col("component_id.id").alias("__keep"), F.col("component_id.key").alias("__keep_key")).distinct()
+    mine = docs.withColumn("__key", C.text_key())
+    chosen = mine.join(keep, (mine["__key"] == keep["__keep_key"]) & mine["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold an item of ``benchmark``."""
+    """Drops the rows whose text holds an item of ``benchmark``."""
     C.on_workers(spark)
-    return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination.decontaminate_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

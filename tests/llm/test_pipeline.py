@@ -51,6 +51,22 @@ def test_decontamination_stage(spark, sf, five):
     assert texts(kept) == texts(five)
 
 
+def test_stages_tell_rows_apart_without_ids(spark, sf, five):
+    """Clean rows that share a doc_id or have none all stay; near-duplicates and contaminated rows among them go."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ne", "ru", "ti", "so"]) for _ in range(4))
+    clean = [" ".join(word() for _ in range(120)) for _ in range(20)]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None if i % 2 else 7, t, "en", "s", 1) for i, t in enumerate(clean)]
+    kept = P.simhash_stage(spark, spark.createDataFrame([*rows, rows[1], (None, clean[0], "en", "s", 1)], five.schema), sf)
+    assert texts(kept) == Counter((k, t) for k, t, *_ in rows)
+    held = [(k, f"{word()} {item} {word()}", "en", "s", 1) for k in (None, 7)]
+    kept = P.decontamination_stage(spark, spark.createDataFrame([*rows, *held], five.schema), sf)
+    assert texts(kept) == Counter((k, t) for k, t, *_ in rows)
+
+
 def test_packing_stage(spark, sf, five, rows):
     out = P.packing_stage(spark, five, sf).collect()
     assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(k for k, *_ in rows)

@@ -91,6 +91,11 @@ def sql_type(df: DataFrame, name: str) -> str:
     return df.schema[next(c for c in df.columns if c.lower() == name.lower())].dataType.simpleString()
 
 
+def text_key():
+    """128 bits of text, null as empty: tells rows apart that share a doc_id or have none."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

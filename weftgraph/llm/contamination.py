@@ -72,3 +72,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, percent: in
     """The rows of ``docs``, all columns, whose doc_id contains no item; defined as ``contained``."""
     held = contained(docs, items, words, percent).select(F.col("doc_id").alias("__held")).distinct()
     return docs.join(held, docs["doc_id"].eqNullSafe(held["__held"]), "left_anti")
+
+
+def decontaminate_rows(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """As ``decontaminate``, but each row is judged by its own text, whatever rows share its doc_id or have none."""
+    row = F.struct(F.col("doc_id").alias("id"), C.text_key().alias("key"))
+    held = contained(docs.select(row.alias("doc_id"), "text"), items, words, percent)
+    held = held.select(F.col("doc_id.id").alias("__held"), F.col("doc_id.key").alias("__held_key")).distinct()
+    mine = docs.withColumn("__key", C.text_key())
+    return mine.join(held, (mine["__key"] == held["__held_key"]) & mine["doc_id"].eqNullSafe(held["__held"]), "left_anti").select(*docs.columns)
