@@ -268,6 +268,31 @@ def test_licences_of_the_table(spark):
     assert got == plain_licences(rows, licenses.fit()) and len({f for _, _, f, _ in got}) == 4
 
 
+def test_licences_over_lines_and_inside_long_ones(spark):
+    """Each statement wrapped at 72 columns."""
+    import random
+    import textwrap
+
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choices("river stone light over bread glass house walks green seven".split(), k=n))
+    statements = [(t, f) for f, x in licenses.TEMPLATES.items() for t in x]
+    rows, want = [], {}
+    for i, (t, f) in enumerate(statements):
+        forms = ["\n".join(f"# {x}" for x in textwrap.wrap(t, 72))]
+        for k, text in enumerate(forms):
+            rows.append((10 * i + k, f"{prose(9)}\n\n{text}\n\n{prose(9)}"))
+            want[10 * i + k] = f
+    rows += [(9000 + i, f"{prose(40)} {t} {prose(40)}") for i, t in enumerate(licenses.OTHERWISE)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    named = {r.doc_id: r.family for r in got}
+    assert not [k for k in named if k >= 9000]
+    for k in range(1):
+        ids = [i for i in want if i % 10 == k]
+        assert sum(named.get(i) == want[i] for i in ids) >= 0.9 * len(ids), k
+    assert len(got) == len(named)  # one statement, one row
+    assert all(r.paragraph == 2 for r in got)
+
+
 # 7: passages
 
 

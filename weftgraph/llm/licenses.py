@@ -1,6 +1,6 @@
 """Operator 6, licence scans [native]: a trained paragraph classifier.
 
-A paragraph (a line) is described by its word bigrams and trigrams that hold a word of licence
+A paragraph (a line, or a stretch of words as long as a statement) is described by its word bigrams and trigrams that hold a word of licence
 language. A softmax regression over them, fitted here by gradient descent on the statements below,
 on their variations and on counter-examples, tells the licence's family or ``unknown``; its
 temperature is calibrated on variations that were held out. A prediction counts once the paragraph
@@ -196,27 +196,58 @@ def fit(seed: int = 5, variations: int = 12, epochs: int = 400, rate: float = 2.
     return Model(families, grams, anchors, w, b, min(losses)[1])
 
 
+def _windows(docs: DataFrame) -> DataFrame:
+    """Stretches of a text's words, across lines, that can be a statement: from a word pair of a template to its end.
+
+    Each is as long as the template has words from that pair on, so that what stands around a
+    statement, and where its lines break, does not matter. (doc_id, key, paragraph, last, start, stop,
+    line, w): the lines it begins and ends on, its places among the text's words, its text and words.
+    """
+    sizes = set()
+    for t in (words_of(t) for f in TEMPLATES.values() for t in f):
+        sizes |= {(f"{a} {b}", len(t) - i) for i, (a, b) in enumerate(zip(t, t[1:], strict=False)) if not COMMON.issuperset((a, b))}
+    pairs, longest = sorted({g for g, _ in sizes}), max(n for _, n in sizes)
+    table = docs.sparkSession.createDataFrame(sorted(sizes), "pair string, size int")  # fixed by TEMPLATES
+    pieces = (
+        "flatten(transform(split(coalesce(text, ''), '\\n'), (x, k) -> transform(filter(split(concat(x, '\\n'), '(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])'), p -> p rlike '[A-Za-z0-9]'),"
+        " p -> struct(p AS raw, lower(regexp_replace(p, '[^A-Za-z0-9]+', '')) AS w, k AS line))))"
+    )
+    pair = lambda i: F.concat(F.get("ps", i)["w"], F.lit(" "), F.get("ps", i + 1)["w"])
+    t = docs.select("doc_id", C.text_key().alias("key"), F.expr(pieces).alias("ps"))
+    t = t.withColumn("starts", F.filter(F.expr("IF(size(ps) < 2, CAST(array() AS ARRAY<INT>), sequence(0, size(ps) - 2))"), lambda i: pair(i).isin(pairs)))
+    t = t.select("doc_id", "key", F.explode_outer(F.transform("starts", lambda i: F.struct(i.alias("start"), F.slice("ps", i + 1, longest).alias("ps")))).alias("x")).select("doc_id", "key", "x.start", "x.ps")
+    t = t.join(F.broadcast(table), pair(F.lit(0)) == F.col("pair")).withColumn("ps", F.expr("slice(ps, 1, size)")).withColumn("stop", F.expr("start + size(ps)"))
+    t = t.select("doc_id", "key", F.expr("ps[0].line AS paragraph"), F.expr("element_at(ps, -1).line AS last"), "start", "stop", F.rtrim(F.array_join("ps.raw", "")).alias("line"), F.col("ps.w").alias("w"))
+    return t.dropDuplicates(["doc_id", "key", "start", "stop"])
+
+
 def scan(docs: DataFrame, min_probability: float = 0.5, min_similarity: float = 0.6) -> DataFrame:
     """Rows (doc_id, paragraph, family, probability, similarity, paragraph_text) of licence statements.
 
     paragraph is the line's place from 0. A line is reported if a family other than ``unknown`` is
     likeliest with ``min_probability``, and the share of one of that family's templates' n-grams that
-    the line holds is ``min_similarity`` or more. Null and empty texts have none; texts are read whole;
-    rows that repeat doc_id and text are reported once; a null doc_id stands as it is; of families
-    that tie the first in TEMPLATES counts; other columns are ignored, whatever their names; an empty
-    table gives no rows.
+    the line holds is ``min_similarity`` or more. Where no line is reported by itself, stretches of
+    words as long as a template are judged alike, so that statements broken over lines or inside long
+    lines are found: of those that overlap the most similar counts (then the longest, the likeliest, the
+    first), paragraph is the line it begins on and paragraph_text the stretch. Null and empty texts have
+    none; texts are read whole; rows that repeat doc_id and text are reported once; a null doc_id stands
+    as it is; of families that tie the first in TEMPLATES counts; other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
     C.need(docs, "doc_id", "text")
     m = fit()
     spark = docs.sparkSession
-    lines = docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
+    lines = docs.select("doc_id", C.text_key().alias("key"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
     # every n-gram of the model holds an anchor: a line without one is unknown
     worded = lines.withColumn("w", F.expr("filter(split(lower(line), '[^a-z0-9]+'), x -> x <> '')")).where(F.exists("w", lambda x: x.isin(list(m.anchors))))
+    worded = worded.select("doc_id", "key", "paragraph", F.col("paragraph").alias("last"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"), "line", "w")
+    worded = worded.unionByName(_windows(docs))
     grams = F.expr("array_distinct(concat(" + ", ".join(f"IF(size(w) < {n}, CAST(array() AS ARRAY<STRING>), transform(sequence(0, size(w) - {n}), i -> array_join(slice(w, i + 1, {n}), ' ')))" for n in (2, 3)) + "))")
     table = spark.createDataFrame([(g, i, [float(x) for x in m.weights[i]]) for i, g in enumerate(m.grams)], "gram string, i int, weights array<double>")  # fixed by TEMPLATES
+    place = ["doc_id", "key", "paragraph", "last", "start", "stop", "line"]
     # outer: a filter on the array would be pushed below w and split the line for each n-gram
-    part = worded.withColumn("g", grams).select("doc_id", "paragraph", "line", F.size("g").alias("total"), F.explode_outer("g").alias("gram"))
-    line = ["doc_id", "paragraph", "line", "total"]
+    part = worded.withColumn("g", grams).select(*place, F.size("g").alias("total"), F.explode_outer("g").alias("gram"))
+    line = [*place, "total"]
     hits = part.join(F.broadcast(table), "gram").dropDuplicates([*line, "i"])
     n = len(m.families)
     sums = hits.groupBy(*line).agg(F.sort_array(F.collect_list("i")).alias("hits"), *[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(n)])
@@ -235,4 +266,11 @@ def scan(docs: DataFrame, min_probability: float = 0.5, min_similarity: float =
         similar = F.when(F.col("best") == k, F.array_max(F.array(*shares))).otherwise(similar)
     named = F.element_at(F.array(*map(F.lit, m.families)), F.col("best") + 1)
     out = scored.where((F.col("best") < len(m.families) - 1) & (F.col("probability") >= min_probability)).withColumn("similarity", similar).where(F.col("similarity") >= min_similarity)
-    return out.select("doc_id", "paragraph", named.alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), F.col("line").alias("paragraph_text"))
+    # lines first; then what overlaps nothing better
+    order = [(F.col("start") >= 0).alias("within"), (-F.col("similarity")).alias("s"), (F.col("start") - F.col("stop")).alias("n"), (-F.col("probability")).alias("p")]
+    found = out.select("doc_id", "key", F.struct(*order, "start", "stop", "paragraph", "last", named.alias("family"), "probability", "similarity", "line").alias("x"))
+    found = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    meets = "IF(x.within AND y.within, y.start < x.stop AND x.start < y.stop, y.paragraph <= x.last AND x.paragraph <= y.last)"
+    chosen = F.expr(f"aggregate(xs, slice(xs, 1, 0), (a, x) -> IF(exists(a, y -> {meets}), a, concat(a, array(x))))")
+    out = found.select("doc_id", F.explode(chosen).alias("x"))
+    return out.select("doc_id", "x.paragraph", "x.family", F.round("x.probability", 6).alias("probability"), F.round("x.similarity", 6).alias("similarity"), F.col("x.line").alias("paragraph_text"))
