@@ -269,7 +269,7 @@ def test_licences_of_the_table(spark):
 
 
 def test_licences_over_lines_and_inside_long_ones(spark):
-    """Each statement wrapped at 72 columns."""
+    """Each statement wrapped at 72 columns, and in the middle of a line of 50, 200 and 2,000 words."""
     import random
     import textwrap
 
@@ -278,7 +278,7 @@ def test_licences_over_lines_and_inside_long_ones(spark):
     statements = [(t, f) for f, x in licenses.TEMPLATES.items() for t in x]
     rows, want = [], {}
     for i, (t, f) in enumerate(statements):
-        forms = ["\n".join(f"# {x}" for x in textwrap.wrap(t, 72))]
+        forms = ["\n".join(f"# {x}" for x in textwrap.wrap(t, 72)), *(f"{prose(n // 2)} {t} {prose(n // 2)}" for n in (50, 200, 2000))]
         for k, text in enumerate(forms):
             rows.append((10 * i + k, f"{prose(9)}\n\n{text}\n\n{prose(9)}"))
             want[10 * i + k] = f
@@ -286,7 +286,7 @@ def test_licences_over_lines_and_inside_long_ones(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     named = {r.doc_id: r.family for r in got}
     assert not [k for k in named if k >= 9000]
-    for k in range(1):
+    for k in range(4):
         ids = [i for i in want if i % 10 == k]
         assert sum(named.get(i) == want[i] for i in ids) >= 0.9 * len(ids), k
     assert len(got) == len(named)  # one statement, one row
