@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import textwrap
 from collections import Counter, defaultdict
 
 import brute as B
@@ -430,6 +431,29 @@ def test_secrets_confirmed_by_structure(text, kind):
     assert ("é " + text)[s:e] in text
 
 
+def _lines(data: bytes, width: int, end: str) -> str:
+    return end.join(textwrap.wrap(base64.b64encode(data).decode(), width))
+
+
+@pytest.mark.parametrize(
+    ("before", "key", "after", "kind"),
+    [
+        ("PRIVATE_KEY=", base64.b64encode(RSA).decode(), "", "der"),
+        ("export SIGNING_KEY=", base64.b64encode(OPENSSH).decode(), " # key", "openssh"),
+        ('{"key": "', "-----BEGIN PRIVATE KEY-----\\n" + _lines(RSA, 64, "\\n") + "\\n-----END PRIVATE KEY-----", '\\n"}', "armour"),
+        ('{"key": "', "-----BEGIN PRIVATE KEY-----\\r\\n" + _lines(OPENSSH, 64, "\\r\\n") + "\\r\\n-----END PRIVATE KEY-----", '"}', "armour"),
+        ("key:\n  ", _lines(RSA, 64, "\n  "), "\nwords after it", "der"),
+        ("a" * 40 + "\n", _lines(RSA, 76, "\r\n"), "\r\n", "der"),
+        ("KEY=", _lines(OPENSSH, 64, "\n"), "\nwords after it", "openssh"),
+        ('{"der": "\\n', _lines(RSA, 64, "\\n"), '\\n"}', "der"),
+    ],
+)
+def test_secrets_confirmed_as_they_are_written(before, key, after, kind):
+    """After an equals sign, with literal escapes for line ends, and wrapped without armour: the whole key is the span."""
+    found = next(iter(secrets.scan_texts([f"{before}{key}{after}".encode()])))
+    assert [x for x in found if x[0] in ("armour", "der", "openssh")] == [(kind, len(before), len(before + key))]
+
+
 @pytest.mark.parametrize(
     "text",
     [

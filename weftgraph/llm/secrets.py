@@ -1,6 +1,6 @@
 """Operator 10, secret scans: patterns, and structural confirmation of encoded candidates.
 
-Three base patterns report as they match. Beyond them, runs of base64 or hexadecimal characters and
+Three base patterns report as they match. Beyond them, runs of base64 (wrapped ones too) or hexadecimal characters and
 armoured blocks are decoded, and are reported only if what they hold parses: a DER sequence whose
 nested lengths add up and which starts like a private key, an OpenSSH key blob whose length-prefixed
 fields fit, or a signed token whose header is JSON that names an algorithm.
@@ -26,9 +26,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "armour", "der", "openssh", "jws")
 
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
 _JWS = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+# after a literal \n, \r or \t a run starts at the next character
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<!\\)|(?![nrt]))[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])|(?<=\\[nrt])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A further line of wrapped base64; line ends may be literal escapes.
+_NEXT = re.compile(r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\+r)?\\+n)([A-Za-z0-9+/_-]+)(={0,2})(?![A-Za-z0-9+/_=-])")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.-"]] = True
@@ -47,7 +50,7 @@ def _long_runs(marks: np.ndarray, n: int) -> np.ndarray:
 
 
 def _decode(text: str) -> bytes | None:
-    body = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(r"\s|\\+[nrt]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -109,6 +112,28 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data) and strings >= 5
 
 
+def _wrapped(text: str, start: int, end: int) -> tuple[str, int] | None:
+    """The kind and the end of a key whose base64 begins in the run ``start`` to ``end`` and goes on in further lines."""
+    head = _decode(text[start : start + 20])
+    if not head:
+        return None
+    if head[0] == 0x30 and head[1] > 0x80 and head[1] <= 0x84:  # its length tells how many characters there are
+        k = head[1] & 0x7F
+        need = -(-(2 + k + int.from_bytes(head[2 : 2 + k], "big")) * 4 // 3)
+    elif head == b"openssh-key-v1\x00":
+        need = 0
+    else:
+        return None
+    have, width = end - start, end - start
+    while (not need or have < need) and (m := _NEXT.match(text, end)):
+        have, end = have + len(m[1]), m.end()
+        if not need and is_openssh_key(_decode(text[start:end]) or b""):
+            return "openssh", end
+        if m[2] or len(m[1]) > width:
+            break
+    return ("der", end) if need == have and is_der_key(_decode(text[start:end]) or b"") else None
+
+
 def is_token_header(text: str) -> bool:
     data = _decode(text)
     try:
@@ -139,6 +164,9 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "der", *m.span()
             elif data and is_openssh_key(data):
                 yield "openssh", *m.span()
+            elif pattern is _BASE64 and (key := _wrapped(text, *m.span())):
+                inside.append((m.start(), key[1]))
+                yield key[0], *inside[-1]
 
 
 def base(text: str, words: bool = True, hexes: bool = True) -> list[tuple[str, int, int]]:
