@@ -118,6 +118,19 @@ def test_rules_divergence_is_jensen_shannon(spark):
         assert got[r.doc_id].word_divergence == pytest.approx(min(best), abs=1e-6)
 
 
+def test_rules_judge_by_every_language(spark):
+    """80 languages without a common word: the clean texts of each are kept."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(80):
+        own = [chr(97 + k // 26) + chr(97 + k % 26) + chr(97 + j) for j in range(26)]
+        rows += [(2 * k + i, " ".join(rng.choices(own, weights=range(9, 35), k=150 if k < 64 else 120)), f"l{k}") for i in range(2)]
+    out = rules.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert [r.doc_id for r in out if not r.kept] == [] and len(out) == len(rows)
+
+
 def test_rules_without_languages_or_rows(docs, empty):
     none = docs.drop("lang")
     assert {(r.base_failed, r.kept) for r in rules.quality(none).collect()} <= {(True, False), (False, True)}

@@ -70,18 +70,22 @@ def counts(docs: DataFrame, common_chars: int) -> DataFrame:
     )
 
 
-def references(counted: DataFrame, n_common: int, max_languages: int) -> list[dict]:
-    """Of each language (the ``max_languages`` with most words): its classes' shares and its common words' shares."""
+def references(counted: DataFrame, n_common: int, max_languages: int | None = None) -> list[dict]:
+    """Of each language (ValueError beyond ``max_languages``): its classes' shares and its common words' shares."""
     known = counted.where("lang IS NOT NULL")
-    sums = known.groupBy("lang").agg(F.sum("n_tokens").alias("tokens"), *[F.sum(f"c_{k}").alias(k) for k in CELLS]).where("tokens > 0").orderBy(F.desc("tokens"), "lang").limit(max_languages).collect()
-    names = [r["lang"] for r in sums]
-    words = known.where(F.col("lang").isin(names)).select("lang", F.explode("words").alias("x")).select("lang", "x.w", "x.n").groupBy("lang", "w").agg(F.sum("n").alias("n")).where(r"w rlike '^\\p{L}+$'")
+    sums = known.groupBy("lang").agg(F.sum("n_tokens").alias("tokens"), *[F.sum(f"c_{k}").alias(k) for k in CELLS]).where("tokens > 0").orderBy(F.desc("tokens"), "lang").collect()
+    words = known.select("lang", F.explode("words").alias("x")).select("lang", "x.w", "x.n").groupBy("lang", "w").agg(F.sum("n").alias("n")).where(r"w rlike '^\\p{L}+$'")
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     rows = words.withColumn("k", F.row_number().over(first)).where(F.col("k") <= n_common).collect()
+    if max_languages is not None and len(sums) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    shares: dict[str, list] = {}
+    for x in sorted(rows, key=lambda x: x["k"]):
+        shares.setdefault(x["lang"], []).append(x)
     out = []
     for r in sums:
         chars = max(1, sum(r[k] for k in CELLS))
-        out.append({"lang": r["lang"], "classes": [r[k] / chars for k in CELLS], "words": {x["w"]: x["n"] / r["tokens"] for x in sorted(rows, key=lambda x: x["k"]) if x["lang"] == r["lang"]}})
+        out.append({"lang": r["lang"], "classes": [r[k] / chars for k in CELLS], "words": {x["w"]: x["n"] / r["tokens"] for x in shares.get(r["lang"], ())}})
     return out
 
 
@@ -94,12 +98,13 @@ def _literal(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, word_limit: float = 0.05, class_limit: float = 0.08, n_common: int = 32, common_chars: int = 5, max_languages: int = 64) -> DataFrame:
+def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, word_limit: float = 0.05, class_limit: float = 0.08, n_common: int = 32, common_chars: int = 5, max_languages: int | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text[, lang]) with its counts, divergences and verdict.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, word_divergence,
     class_divergence, kept. Common words are those of at most ``common_chars`` characters, lower-cased,
-    the ``n_common`` most frequent of each lang (ties: by word). A text passes if its class divergence
+    the ``n_common`` most frequent of each lang (ties: by word); every lang of the table is a reference, and more than
+    ``max_languages``, if given, are refused. A text passes if its class divergence
     is at most ``class_limit`` and its word divergence at most ``word_limit`` and 1.25 times what
     sampling adds to it, (cells - 1) / (8 ln 2 words). Null and empty texts have no words and fail;
     texts are read whole; rows with a null lang are judged, but add to no reference; without any
