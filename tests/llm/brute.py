@@ -31,6 +31,37 @@ def base_rules(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed
 
 
+def quality_rules(rows: list[tuple], n_common: int, word_limit: float = 0.05, class_limit: float = 0.08):
+    """(doc_id, n_words, word divergence, class divergence, kept) of each (doc_id, text, lang)."""
+    import regex
+
+    classes = [r"[A-Z]", r"[0-9]", r"[.,;:]", r"[!?]", r"[#*$%&|<>]", r"[\x20\x09-\x0D]"]
+    counted = []
+    for k, t, lang in rows:
+        t = t or ""
+        tokens = [x for x in re.split(r"[\x20\x09-\x0D.,;:!?]+", t.lower()) if x]
+        cells = [len(re.findall(c, t)) for c in classes]
+        counted.append((k, t, lang, tokens, [*cells, len(t) - sum(cells)]))
+    refs = []
+    for lang in {c[2] for c in counted if c[2] is not None}:
+        own = [c for c in counted if c[2] == lang]
+        words, total = Counter(w for c in own for w in c[3]), sum(len(c[3]) for c in own)
+        cells = [sum(x) for x in zip(*(c[4] for c in own), strict=True)]
+        common = sorted(((-n, w) for w, n in words.items() if regex.fullmatch(r"\p{L}+", w)))[:n_common]
+        if total:
+            refs.append(({w: -n / total for n, w in common}, [max(x / max(1, sum(cells)), 1e-12) for x in cells]))
+    for k, t, _, tokens, cells in counted:
+        n, tokens_n, own = base_rules(t)[0], max(1, len(tokens)), Counter(tokens)
+        word = []
+        for shares, _ in refs:
+            p, q = [own[w] / tokens_n for w in shares], list(shares.values())
+            word.append(divergence([*p, max(0, 1 - sum(p))], [*q, max(1e-12, 1 - sum(q))]))
+        w = min(word) if tokens else 1.0
+        c = min(divergence([x / max(1, sum(cells)) for x in cells], q) for _, q in refs) if n else 1.0
+        allowed = word_limit + 1.25 * n_common / (8 * math.log(2)) / tokens_n
+        yield k, n, round(w, 6), round(c, 6), not base_rules(t)[-1] and w <= allowed and c <= class_limit
+
+
 def fingerprint(text: str | None, n: int = 3) -> int:
     w = WORD.findall(ascii_lower(text or ""))
     if not w:

@@ -100,22 +100,28 @@ def test_rules_base_counts(docs, rows):
     assert all(not r.kept for r in got if r.base_failed)
 
 
-def test_rules_divergence_is_jensen_shannon(spark):
-    docs = spark.createDataFrame([(1, "the cat and the dog. " * 30, "en"), (2, "der hund und die maus! " * 20, "de"), (3, "the hund 99 <b> " * 40, None)], "doc_id int, text string, lang string")
-    counted = rules.counts(docs, 5)
-    refs = rules.references(counted, 32, 64)
-    got = {r.doc_id: r for r in rules.quality(docs).collect()}
-    for r in counted.collect():
-        chars = sum(r[f"c_{k}"] for k in rules.CELLS)
-        cls = min(B.divergence([r[f"c_{k}"] / chars for k in rules.CELLS], [max(q, 1e-12) for q in x["classes"]]) for x in refs)
-        words = {w.w: w.n / r.n_tokens for w in r.words}
-        best = []
-        for x in refs:
-            p = [words.get(w, 0) for w in x["words"]]
-            q = list(x["words"].values())
-            best.append(B.divergence([*p, max(0, 1 - sum(p))], [*q, max(1e-12, 1 - sum(q))]))
-        assert got[r.doc_id].class_divergence == pytest.approx(cls, abs=1e-9)
-        assert got[r.doc_id].word_divergence == pytest.approx(min(best), abs=1e-6)
+def test_rules_verdict_against_plain(docs, rows):
+    for n_common in (32, 5):
+        out = rules.quality(docs, n_common=n_common, word_limit=0.2).collect()
+        got = Counter((r.doc_id, r.n_words, round(r.word_divergence, 6), round(r.class_divergence, 6), r.kept) for r in out)
+        assert got == Counter(B.quality_rules([(k, t, lang) for k, t, lang, *_ in rows], n_common, word_limit=0.2))
+        assert len({r.kept for r in out}) == 2
+
+
+def test_rules_common_words_of_any_length(spark):
+    long = [f"gemeinschaftlich{c}" for c in "abcdefgh"]
+    text = " ".join(long * 20)
+    assert set(rules.common_words(spark.createDataFrame([(1, text, "x")], "doc_id int, text string, lang string"), 32)["x"]) == set(long)
+
+
+def test_rules_windows_of_a_very_long_text(spark):
+    """Over a million different words: no window repeats; then two do."""
+    n = 1_200_000
+    words = [f"w{i:x}" for i in range(n)]
+    again = [*words, "w5", "w6", "w7", "w5", "w6", "w7"]
+    df = spark.createDataFrame([(1, " ".join(words), "x"), (2, " ".join(again), "x")], "doc_id int, text string, lang string")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in rules.quality(df).collect()}
+    assert got == {1: (n, 0), 2: (n + 6, 9)}
 
 
 def test_rules_judge_by_every_language(spark):
