@@ -15,6 +15,7 @@ large-star and small-star rounds on DataFrames, never on the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,25 +28,41 @@ from . import common as C
 #: Fingerprints of a crowded cell that one block holds.
 BLOCK = 2048
 _LOW = np.uint32(0x55555555)
-_TWO = np.uint32(0x33333333)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words(text: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, in lists of about ``step`` bytes."""
+    if len(text) <= step:  # bytes: A-Z only; white space is U+0020 and U+0009 to U+000D
+        yield text.lower().split()
+        return
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + step)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].lower().split()
+        at = end
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
-    """Bits set in over half of the XXH64 values (seed 42) of the ``words``-word shingles."""
+    """Bits set in over half of the XXH64 values (seed 42) of the ``words``-word shingles.
+
+    A long text's words are in memory a part at a time.
+    """
     import xxhash
 
-    w = text.lower().split()  # bytes: A-Z only; white space is U+0020 and U+0009 to U+000D
-    if not w:
-        return 0
-    if len(w) < words:
-        shingles = [b" ".join(w)]
-    else:
-        shingles = list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, dtype=np.int64), len(shingles)
-    for lo in range(0, n, 65_536):
-        h = np.fromiter((digest(s, 42) for s in shingles[lo : lo + 65_536]), dtype="<u8")
+    counts, n, tail = np.zeros(64, dtype=np.int64), 0, []
+    for part in _words(text):
+        w = tail + part
+        tail = w[1 - words :] if words > 1 else []
+        if len(w) < words:
+            continue
+        h = np.fromiter((digest(b" ".join(s), 42) for s in zip(*(w[i:] for i in range(words)), strict=False)), dtype="<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    if not n:
+        return digest(b" ".join(tail), 42) if tail else 0
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -179,7 +196,8 @@ def links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
     n = C.partitions(fps.sparkSession)
     cells = C.map_batches(fps.select("fp"), _cells, "cell bigint, fp bigint, home boolean")
     sizes = cells.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("probes"))
-    live = sizes.where("homes > 0 and homes + probes > 1")
+    # written first, here and below: beside a plain scan, the rows of a hot key can be split in the join
+    live = C.materialise(sizes.where("homes > 0 and homes + probes > 1"), "cells")
     rows = cells.join(live, "cell")
     # a block of rows at home meets each block; of probes, each block at home
     hb, pb = F.ceil(F.col("homes") / block), F.ceil(F.col("probes") / block)
@@ -200,17 +218,18 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the smallest node it reaches.
 
     Alternating large-star and small-star rounds; each round's edges are written to the shared
-    folder. Minima are aggregated before they are joined back, so that a hub is no group.
+    folder. Minima are aggregated by partition and written before they are joined back, so that a hub
+    is no group and its edges can be split among tasks.
     """
     now = C.materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     for k in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = C.materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), f"low{k}")
         # large star: every larger neighbour goes to the smallest one
-        star = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
+        star = C.materialise(both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct(), f"star{k}")
         # small star: a node and its smaller neighbours go to the smallest of these
         down = star.select(F.col("b").alias("n"), F.col("a").alias("s"))
-        least = down.groupBy("n").agg(F.min("s").alias("low"))
+        least = C.materialise(down.groupBy("n").agg(F.min("s").alias("low")), f"least{k}")
         new = down.join(least, "n").select(F.col("low").alias("a"), F.explode(F.array("n", "s")).alias("b")).where("a <> b").distinct()
         new = C.materialise(new, f"edges{k}")
         # done when every node hangs on one root that hangs on nothing
@@ -237,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     of = C.materialise(fingerprints(docs, words), "fingerprints")
     distinct = of.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = C.materialise(components(links(distinct, max_bits)), "roots")
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    class_of = named.join(lowest, "root").select("fp", "component_id")
+    named = C.materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
+    lowest = C.materialise(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    class_of = C.materialise(named.join(lowest, "root").select("fp", "component_id"), "classes")
     return of.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
