@@ -33,7 +33,8 @@ def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
             keys = {k for k in (_key(x, min_chars) for x in text.split(b"\n")) if k is not None}
             at.extend([i] * len(keys))
             out.extend(xxhash.xxh3_128_digest(k) for k in keys)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["doc_id", "key"])
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("row").take(at), pa.array(out, pa.binary())], ["doc_id", "row", "key"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -67,16 +68,19 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     """
     C.need(docs, "doc_id", "text")
     kind = C.sql_type(docs, "doc_id")
-    keyed = C.map_batches(docs.select("doc_id", "text"), lambda it: _hashes(it, min_chars), f"doc_id {kind}, key binary")
+    # of rows that share a doc_id, or have none, each gets the keys of its own text only (by 64 bits of
+    # it: were two alike, each would get the other's keys too, which none of its lines has)
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = C.map_batches(docs.select("doc_id", row.alias("row"), "text"), lambda it: _hashes(it, min_chars), f"doc_id {kind}, row bigint, key binary")
     keyed = C.materialise(keyed, "lines")
     # distinct documents first, dealt by (key, document): a line that every document holds is no hot group
     found = keyed.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.sum("one").alias("n"), F.min("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     # written first: beside a plain shuffle, the rows of a line that is everywhere can be split in the join
     found = C.materialise(found.select("key", "keeper"), "repeated")
     doomed = keyed.join(found.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))  # bounded by a document's own lines
+    drops = doomed.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("key").alias("__drop"))  # bounded by a text's own lines
     rest = [c for c in C.without(docs, "text", "n_lines", "n_dropped").columns]
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left").select(*[docs[f"`{c}`"] for c in rest], docs["text"].alias("__text"), "__drop")
+    joined = docs.join(drops, (row == drops["__row"]) & docs["doc_id"].eqNullSafe(drops["__id"]), "left").select(*[docs[f"`{c}`"] for c in rest], docs["text"].alias("__text"), "__drop")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = C.map_batches(joined, lambda it: _kept(it, min_chars), f"{fields}, text string, n_lines bigint, n_dropped bigint")
     order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
