@@ -2,8 +2,8 @@
 
 Letters are lower-cased, all else is a space; n-grams of one to three characters are hashed into a
 fixed number of buckets. Fitting counts them for each language on a bounded sample of labelled rows
-(``per_language`` documents, drawn by a hash of doc_id); the matrix of log probabilities has a fixed
-bound (``max_languages`` x 2 ** ``bits`` floats) and is broadcast. Scoring turns a batch into one
+(``per_language`` documents, drawn by a hash of doc_id and text); the matrix of log probabilities has
+a fixed bound (``max_floats``) and is broadcast: the more languages, the fewer buckets. Scoring turns a batch into one
 sparse matrix of (document, bucket) counts and multiplies it with the matrix in numpy.
 """
 
@@ -89,41 +89,40 @@ class NaiveBayes:
         return names, np.where(has, p.max(axis=1), 0.0)
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 2000, max_languages: int = 256, bits: int = 16, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5, evidence: int = 300) -> NaiveBayes:
+def fit(docs: DataFrame, train: Column, per_language: int = 2000, max_floats: int = 1 << 24, bits: int = 16, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5, evidence: int = 300) -> NaiveBayes:
     """Fit on rows of ``docs`` (doc_id, text, lang) where ``train`` holds and text and lang are there.
 
-    At most about ``per_language`` documents of each language are read, drawn by a hash of doc_id.
+    At most about ``per_language`` documents of each language are read, drawn by a hash of doc_id and
+    text; rows that repeat both count once among them. Every lang is learned: 2 ** ``bits`` buckets
+    each, or as many fewer as ``max_floats`` / languages allows (two at least). A text's evidence
+    counts as that of ``evidence`` n-grams at most, as n-grams of one text are not independent: the
+    prediction stays the same, the score does not reach 1 for every long text.
     """
     C.need(docs, "doc_id", "text", "lang")
-    rows = docs.where(train & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    rows = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    while bits > 1 and len(sizes) << bits > max_floats:
+        bits -= 1
     languages = sorted(sizes)
     span = 1 << 30
-    share = F.lit(0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(min(span, -(-per_language * span // sizes[name])))).otherwise(share)
-    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(span)) < share)).select("lang", "text")
+    number = {name: k for k, name in enumerate(languages)}
+    shares = docs.sparkSession.createDataFrame([(name, k, min(span, -(-per_language * span // sizes[name]))) for name, k in number.items()], "lang string, k int, share bigint")
+    drawn = rows.where(F.col("text").isNotNull()).join(F.broadcast(shares), "lang")  # a row a language
+    drawn = drawn.where(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("sample")), F.lit(span)) < F.col("share"))
+    sample = drawn.groupBy("doc_id", "text", "k").agg(F.lit(1)).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for b in C.slices(batches, size=SLICE):
-            texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-            doc, bucket, _ = grams(texts, bits, orders)
-            which = np.array([languages.index(x) for x in langs])[doc] if len(doc) else doc
-            for k in np.unique(which).tolist():
-                sums.setdefault(languages[k], np.zeros(1 << bits, np.int64))
-                sums[languages[k]] += np.bincount(bucket[which == k], minlength=1 << bits)
-        for name, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "bucket", "n"])
-
-    counts = C.map_batches(sample, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+            doc, bucket, _ = grams(b.column("text").to_pylist(), bits, orders)
+            which = b.column("k").to_numpy()[doc]
+            key, n = np.unique((which.astype(np.int64) << bits) | bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((key >> bits).astype(np.int32)), pa.array((key & ((1 << bits) - 1)).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "bucket", "n"])
+
+    # at most max_floats rows
+    counts = C.map_batches(sample, count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((1 << bits, len(languages)), alpha)
     if counts.num_rows:
-        which = np.array([languages.index(x) for x in counts.column("lang").to_pylist()])
-        table[counts.column("bucket").to_numpy(), which] += counts.column("n").to_numpy()
+        table[counts.column("bucket").to_numpy(), counts.column("k").to_numpy()] += counts.column("n").to_numpy()
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float) / max(1, sum(sizes.values())))
     return NaiveBayes(languages, np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table, prior, bits, orders, evidence)
 
