@@ -136,11 +136,14 @@ def _inputs(docs: DataFrame) -> Column:
     return (docs["n_chars"].cast("bigint") if "n_chars" in have else F.lit(None).cast("bigint")).alias("n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, max_rows: int = 8000) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, max_rows: int = 8000, max_features: int = 2048) -> Machine:
     """Fit on the rows of ``labels`` (doc_id, ``label``) where ``train_on`` (over doc_id) holds.
 
-    About ``max_rows`` labelled rows are read at most, drawn by a hash of doc_id. Null labels and ids
-    are left out; of labels that contradict each other for one document the smallest counts.
+    About ``max_rows`` labelled documents are read at most, drawn by a hash of doc_id, and of each at
+    most ``max_features`` features, drawn by a hash of the feature, so that what the driver gets is
+    bounded by 12 bytes times both, however long the texts. Null labels and ids are left out; of
+    labels that contradict each other for one document the smallest counts, and of rows that repeat a
+    doc_id one (the smallest by label and features).
     """
     C.need(docs, "doc_id", "text")
     C.need(labels, "doc_id", label)
@@ -153,12 +156,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, max_ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, size=1_000_000):
             doc, feat, value = features(C.utf8(b.column("text")), _sizes(b))
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
+            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            if (np.diff(cut) > max_features).any():
+                mixed = (feat * 0x9E3779B1) & 0xFFFFFFFF
+                order = np.lexsort((mixed, doc))
+                taken = np.sort(order[np.arange(len(doc)) - cut[doc[order]] < max_features])
+                doc, feat, value = doc[taken], feat[taken], value[taken]
+                cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            cut = cut.tolist()
             f = [feat[s:e].astype("<u4").tobytes() for s, e in zip(cut, cut[1:], strict=False)]
             x = [value[s:e].astype("<f4").tobytes() for s, e in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(f, pa.binary()), pa.array(x, pa.binary())], ["doc_id", "y", "f", "x"])
 
-    got = C.map_batches(rows, run, f"doc_id {C.sql_type(docs, 'doc_id')}, y int, f binary, x binary").toArrow().sort_by("doc_id")
+    made = C.map_batches(rows, run, f"doc_id {C.sql_type(docs, 'doc_id')}, y int, f binary, x binary")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("y", "f", "x")).alias("m")).select("doc_id", "m.y", "m.f", "m.x").toArrow().sort_by("doc_id")
     return train([(np.frombuffer(f, "<u4").astype(np.int64), np.frombuffer(x, "<f4"), int(y > 0)) for y, f, x in zip(*(got.column(c).to_pylist() for c in ("y", "f", "x")), strict=True)])
 
 
