@@ -178,6 +178,33 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(n + 1)}
 
 
+def test_simhash_splits_hot_keys(spark):
+    """A fingerprint of 3,000 rows in one cell: the joins with what is aggregated of it are split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    store = spark._jsparkSession.sharedState().statusStore()
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        seen = store.executionsCount()
+        hub = spark.range(6000).repartition(8).select(F.lit(-1).cast("bigint").alias("a"), F.col("id").alias("b"))
+        roots = simhash.components(hub)
+        assert roots.agg(F.countDistinct("root")).first()[0] == 1 and roots.count() == 6001
+        plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(seen, store.executionsCount())]
+        assert any("skew=true" in p or "skewed" in p for p in plans)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_fingerprint_of_a_long_text():
+    import random
+
+    rng = random.Random(0)
+    text = " \n".join(f"W{rng.randrange(9999)}" for _ in range(300_000))
+    assert len(text) > 1 << 20 and simhash.fingerprint(text.encode()) == B.fingerprint(text)
+
+
 def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
@@ -193,6 +220,15 @@ def test_lines_against_plain(docs, rows):
     assert any(n for _, _, n, _ in want)
 
 
+def test_lines_of_rows_without_an_id(spark):
+    """Each gets the keys of its own text only, and loses what it must."""
+    text = lambda i: f"line of its own {i}\na line that all of them have\nnot long"
+    rows = [(None, text(i)) for i in range(40)] + [(1, text(40)), (1, text(41)), (2, text(42)), (2, text(42))]
+    want = Counter(B.line_dedup(rows))
+    out = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert bag(out.select("doc_id", "n_lines", "n_dropped", "text").collect()) == want
+
+
 def test_lines_threshold_and_empty(spark, empty):
     df = spark.createDataFrame([(1, "a shared line here"), (2, "A SHARED line here "), (3, "x")], "doc_id int, text string")
     assert {r.doc_id: r.n_dropped for r in lines.drop_repeated_lines(df, min_docs=3).collect()} == {1: 0, 2: 0, 3: 0}
@@ -224,8 +260,36 @@ def test_language_cases(docs, rows, empty, spark):
     assert langid.identify(empty, model).count() == 0
     none = langid.fit(empty, F.lit(True))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.fit(docs, F.lit(True), max_languages=1)
+
+
+def test_language_fit_against_plain(spark):
+    """The matrix is that of counts over the sample: rows that repeat count once, rows without an id each."""
+    import numpy as np
+
+    rows = [(1, "Der Hund", "de"), (1, "Der Hund", "de"), (None, "die Maus!", "de"), (None, "der Tag", "de"), (2, "the dog", "en"), (3, None, "en"), (4, "x", None)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"), F.lit(True), bits=10)
+    assert m.languages == ["de", "en"] and np.allclose(np.exp(m.prior), [4 / 6, 2 / 6])
+    for k, texts in enumerate((["Der Hund", "die Maus!", "der Tag"], ["the dog"])):
+        want = np.full(1 << 10, 0.5)
+        for t in texts:
+            np.add.at(want, langid.grams([t], 10, (1, 2, 3))[1], 1)
+        assert np.allclose(m.log_prob[:, k], np.log(want / want.sum()), atol=1e-5)
+
+
+def test_language_of_hundreds(spark):
+    """600 languages: all are learned, in fewer buckets, and told."""
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for k in range(600):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)]
+        rows += [(3 * k + i, " ".join(rng.choices(own, k=60)), f"l{k}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = langid.fit(df, F.col("doc_id") % 3 < 2, max_floats=1 << 23)
+    assert len(model.languages) == 600 and model.log_prob.size <= 1 << 23
+    held = langid.identify(df, model).where("doc_id % 3 = 2").collect()
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * 600
 
 
 def test_language_scores_as_a_plain_sum():
@@ -388,6 +452,49 @@ def test_quality_cases(spark, docs, rows, empty):
     assert all(abs(r.score - 0.5) < 0.05 for r in quality.score(docs.drop("n_chars"), blank).collect())
 
 
+def test_machine_is_trained_by_the_gradient():
+    """Against the same steps with the pairs written out, and on labels that only a pair of features tells."""
+    import math
+
+    import numpy as np
+
+    examples = [(np.array([i, 2 + j]), np.ones(2, np.float32), i ^ j) for i in range(2) for j in range(2)] * 30
+    m = quality.train(examples, rank=4, epochs=12, seed=3)
+    raw = lambda f: m.bias + m.weight[f].sum() + m.factor[f[0]] @ m.factor[f[1]]
+    assert all((raw(f) > 0) == bool(y) for f, _, y in examples)
+    # one step from the start: the gradient of the logistic loss, by differences
+    f, x, y = np.array([5, 9, 11]), np.array([0.5, 1.0, 2.0], np.float32), 1
+    start = np.random.default_rng(7)
+    size = (1 << quality.BITS) + quality.STATS * quality.BINS
+    v = start.normal(0, 0.02, (size, 8)).astype(np.float32)
+    one = quality.train([(f, x, y)], epochs=1, decay=0.0)
+
+    def loss(w, v3):
+        pairs = sum((v3[i] @ v3[j]) * x[i] * x[j] for i in range(3) for j in range(i))
+        return math.log1p(math.exp(-(float(w @ x) + pairs)))
+
+    w0, v0, eps = np.zeros(3), v[f].astype(float), 1e-4
+    for i in range(3):
+        step = np.eye(3)[i] * eps
+        g = (loss(w0 + step, v0) - loss(w0 - step, v0)) / (2 * eps)
+        assert one.weight[f[i]] == pytest.approx(-0.08 * g / math.sqrt(0.01 + g * g), rel=1e-2)
+        for r in (0, 7):
+            up, down = v0.copy(), v0.copy()
+            up[i, r] += eps
+            down[i, r] -= eps
+            g = (loss(w0, up) - loss(w0, down)) / (2 * eps)
+            assert one.factor[f[i], r] - v0[i, r] == pytest.approx(-0.08 * g / math.sqrt(0.01 + g * g), rel=5e-2, abs=1e-5)
+
+
+def test_quality_fit_bounds_what_it_gets(spark):
+    """Long texts and rows that repeat an id: at most max_features features of one row of each id."""
+    long = " ".join(f"word{i}" for i in range(5000))
+    docs = spark.createDataFrame([(1, long), (1, long), (1, "short"), (2, "b c"), (None, long)], "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1)], "doc_id int, quality int")
+    m = quality.fit(docs, labels, "quality", F.lit(True), max_features=64)
+    assert (m.weight != 0).sum() <= 64 + 64
+
+
 def test_machine_is_the_sum_over_pairs():
     import numpy as np
 
