@@ -139,21 +139,25 @@ def base_secrets(text: str | None) -> list[tuple]:
     return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
 
 
-def shingles(text: str | None, n: int = 5) -> set:
+def plain_words(text: str | None) -> list[str]:
     import regex
 
-    w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+
+
+def shingles(text: str | None, n: int = 5) -> set:
+    w = plain_words(text)
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
 def contained(docs: list[tuple], items: list[tuple], percent: int = 80) -> dict:
-    sets = [(k, shingles(t)) for k, t in items]
     out = {}
-    for d, t in docs:
-        have = shingles(t)
-        for k, s in sets:
-            n = len(s & have)
-            if s and 100 * n >= percent * len(s):
+    for k, item in items:
+        size = min(5, len(plain_words(item)))
+        s = shingles(item, size) if size else set()
+        for d, t in docs if s else ():
+            n = len(s & shingles(t, size))
+            if 100 * n >= percent * len(s):
                 out[d, k] = max(out.get((d, k), (0, 0)), (n, len(s)), key=lambda x: x[0] / x[1] if x[1] else 0)
     return out
 

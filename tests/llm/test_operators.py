@@ -407,15 +407,23 @@ def items(rows):
     broken = out[6][1].split()
     for i in (3, 20):
         broken[i] = "zzz"
-    return [*out, (50, " ".join(broken)), (51, None), (52, ""), (53, "of the"), (None, out[4][1]), out[5]]
+    return [*out, (50, " ".join(broken)), (51, None), (52, ""), (53, "of the"), (54, out[2][1].split()[0].strip(".,")), (None, out[4][1]), out[5]]
 
 
-@pytest.mark.parametrize("in_line", [20_000, 3])
-def test_contained_against_plain(spark, docs, rows, items, in_line):
+@pytest.mark.parametrize("bits", [None, 6])
+def test_contained_against_plain(spark, docs, rows, items, bits):
+    """Also with bitmaps of 64 bits, which nearly all shingles pass."""
     table = spark.createDataFrame(items, "item_id int, text string").withColumn("doc_id", F.lit("clash"))
-    got = {(r.doc_id, r.item_id): (r.n_found, r.n_shingles) for r in contamination.contained(docs, table, in_line_keys=in_line).collect()}
+    got = {(r.doc_id, r.item_id): (r.n_found, r.n_shingles) for r in contamination.contained(docs, table, bitmap_bits=bits).collect()}
     assert got == B.contained([(k, t) for k, t, *_ in rows], items)
-    assert len(got) > 8
+    assert len(got) > 8 and {53, 54} <= {i for _, i in got}
+
+
+def test_contained_verifies_a_pair_once(spark, items):
+    """A long document with many items: one row in the verified pairs for each, by one join."""
+    text = " ".join(t for _, t in items if t) + " tail" * 50_000
+    got = contamination.contained(spark.createDataFrame([(1, text)], "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert {r.item_id for r in got.collect()} == {i for i, t in items if t}
 
 
 def test_decontaminate(spark, docs, rows, items, empty):

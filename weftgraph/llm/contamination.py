@@ -3,68 +3,119 @@
 Items are partitioned by size (powers of two of their shingles). A partition's sketch is the k
 smallest hashes of an item's shingles, k one more than a match may lack of the partition's largest
 item: a document that contains the item to the threshold holds at least one of them, so the search
-loses nothing. Long documents probe the sketches with each of their shingles in one map-side pass;
-only those with a hit go on, and candidates are verified there and then by exact containment of the
-shingles' words.
+loses nothing. Long documents probe the sketches in one map-side pass, against a bitmap of a bounded
+size: those with a hit are written with their hits and with those of their shingles that may belong
+to items at all. Hits are joined with the sketches, and each pair of a document and an item is
+verified once, by exact containment of the shingles' words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Bits of a probe's bitmap: at most so many as a power of two (2 MB), of which a hash sets one.
+BITMAP_BITS = 24
+
 
-def _shingled(df: DataFrame, words: int) -> DataFrame:
-    """Adds w (lower-cased runs of letters and digits) and h (a hash of each shingle, by place)."""
+def _shingled(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds w (lower-cased runs of letters and digits) and h (a hash of each shingle, by size and place)."""
     df = df.withColumn("w", F.expr(r"filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"))
-    args = ", ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
-    return df.withColumn("h", F.expr(f"IF(size(w) < {words}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size(w) - {words}), i -> xxhash64({args})))"))
+    hashes = []
+    for n in sizes:
+        args = ", ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
+        hashes.append(f"IF(size(w) < {n}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size(w) - {n}), i -> xxhash64({args})))")
+    return df.withColumn("h", F.expr(hashes[0] if len(sizes) == 1 else f"concat({', '.join(hashes)})"))
+
 
+def _texts(n: int, places: Callable[[Column], Column] = lambda i: F.lit(True)) -> Column:
+    """The distinct shingles of ``n`` words of w as texts; only those at ``places``."""
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - n), places)
+    texts = F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
+    return F.when(F.size("w") < n, F.array().cast("array<string>")).otherwise(F.array_distinct(texts))
 
-def _texts(words: int) -> str:
-    """The distinct shingles of w as texts."""
-    return f"IF(size(w) < {words}, CAST(array() AS ARRAY<STRING>), array_distinct(transform(sequence(0, size(w) - {words}), i -> array_join(slice(w, i + 1, {words}), ' '))))"
 
+def item_shingles(items: DataFrame, words: int) -> DataFrame:
+    """(item_id, size, h, shingles, n): a row for each distinct item with a word, with its distinct shingles.
 
-def item_sketches(items: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, item_id, shingles, n): a row for each hash in an item's sketch."""
-    t = _shingled(items.select("item_id", "text").distinct(), words).where("size(h) > 0")
-    t = t.withColumn("shingles", F.expr(_texts(words))).withColumn("n", F.size("shingles"))
-    t = t.withColumn("top", F.expr("shiftleft(2, CAST(floor(log2(n)) AS INT)) - 1"))  # the largest size in the partition
+    An item of fewer than ``words`` words has its whole sequence for its only shingle.
+    """
+    t = items.select("item_id", "text").distinct()
+    out = None
+    for n in range(1, words + 1):
+        one = _shingled(t, [n]).withColumn("size", F.lit(n)).where((F.size("w") >= n) if n == words else (F.size("w") == n))
+        one = one.select("item_id", "size", F.array_distinct("h").alias("h"), _texts(n).alias("shingles"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("n", F.size("shingles"))
+
+
+def item_sketches(shingled: DataFrame, percent: int) -> DataFrame:
+    """(key, item): a row for each hash in the sketch of an item."""
+    t = shingled.withColumn("top", F.expr("shiftleft(2, CAST(floor(log2(n)) AS INT)) - 1"))  # the largest size in the partition
     t = t.withColumn("k", F.expr(f"CAST(floor(top * {100 - percent} / 100) AS INT) + 1"))
-    t = t.withColumn("sketch", F.expr("slice(sort_array(array_distinct(h)), 1, k)"))
-    return t.select(F.explode_outer("sketch").alias("key"), "item_id", "shingles", "n").where("key IS NOT NULL")
+    return t.select(F.explode(F.expr("slice(sort_array(h), 1, k)")).alias("key"), "item").distinct()
+
+
+class Bitmap:
+    """A set of hashes (column x) as bits, each hash setting one of 2 ** ``bits``; a literal in expressions."""
+
+    def __init__(self, hashes: DataFrame, bits: int | None):
+        self.bits = bits or min(BITMAP_BITS, max(16, (16 * hashes.count()).bit_length()))
+        words = hashes.select(F.shiftright(self._place(F.col("x")), 6).alias("at"), (self._place(F.col("x")) % 64).cast("int").alias("bit"))
+        words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
+        held = {r["at"]: r["word"] for r in words.collect()}  # at most 2 ** (bits - 6) rows
+        text = ",".join(str(held.get(k, 0)) for k in range(1 << self.bits - 6))
+        self.words = F.split(F.lit(text), ",").cast("array<bigint>")  # folded into a literal
+
+    def _place(self, x: Column) -> Column:
+        return F.shiftrightunsigned(x, 64 - self.bits)
+
+    def may_hold(self, x: Column) -> Column:
+        place = self._place(x)
+        word = F.get(self.words, F.shiftright(place, 6).cast("int"))
+        return F.getbit(word, (place % 64).cast("int")) == 1
+
+
+def _held(of: Bitmap, before: Column) -> Callable[[Column], Column]:
+    return lambda i: of.may_hold(F.get("h", i + before))
 
 
-def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, in_line_keys: int = 20_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, bitmap_bits: int | None = None) -> DataFrame:
     """Rows (doc_id, item_id, n_shingles, n_found, containment) of items held by a document to ``percent``.
 
-    Shingles are ``words`` consecutive words, lower-cased runs of letters and digits, as a set; items
-    with fewer words have none and match nothing, as do null and empty texts on either side. Documents
-    are read whole. Rows that repeat a doc_id or item_id give one row, with the most found; a null
-    doc_id or item_id stands as it is. Columns beyond doc_id, item_id and text are ignored, whatever
-    their names; either table empty gives no rows. Up to ``in_line_keys`` hashes the sketches are a set
-    inside the expression; beyond, probes are joined by shuffle and candidates by document.
+    Shingles are ``words`` consecutive words, lower-cased runs of letters and digits, as a set; an item
+    with fewer words has its whole sequence for its only shingle, and is found where a document holds
+    these words in a row. Items and documents without words match nothing, as do null and empty texts.
+    Documents are read whole. Rows that repeat a doc_id or item_id give one row, with the most found; a
+    null doc_id or item_id stands as it is. Columns beyond doc_id, item_id and text are ignored,
+    whatever their names; either table empty gives no rows. ``bitmap_bits``: the size of the probe's
+    bitmaps, else 16 to BITMAP_BITS by the number of hashes; what passes them by chance costs time,
+    but changes nothing.
     """
     C.need(docs, "doc_id", "text")
     C.need(items, "item_id", "text")
-    keys = C.materialise(item_sketches(items, words, percent), "sketches")
-    t = _shingled(docs.select("doc_id", "text"), words)
-    found = F.expr(f"size(array_intersect(shingles, {_texts(words)}))")
-    known = [r["key"] for r in keys.select("key").distinct().limit(in_line_keys + 1).collect()]
-    if len(known) <= in_line_keys:
-        # outer: a filter on the array would be pushed below w and evaluate it for each shingle
-        hits = t.withColumn("hits", F.array_distinct(F.filter("h", lambda x: x.isin(known))))
-        probed = hits.select("doc_id", "w", F.explode_outer("hits").alias("key")).join(F.broadcast(keys), "key")
-    else:
-        t = t.withColumn("row", F.xxhash64("doc_id", "text"))
-        hits = t.select("row", F.explode_outer("h").alias("key")).join(keys.select("key", "item_id"), "key").select("row", "item_id").distinct()
-        whole = keys.select("item_id", "shingles", "n").distinct()
-        probed = t.select("row", "doc_id", "w").join(hits, "row").join(whole, hits["item_id"].eqNullSafe(whole["item_id"])).drop(hits["item_id"])
-    exact = probed.select("doc_id", "item_id", "n", found.alias("found")).where(F.col("found") * 100 >= F.col("n") * percent)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("found") / F.col("n"), "found", "n")).alias("x"))
+    shingled = C.materialise(item_shingles(items, words).withColumn("item", F.monotonically_increasing_id()), "items")
+    keys = C.materialise(item_sketches(shingled, percent), "sketches")
+    sizes = sorted(r["size"] for r in shingled.select("size").distinct().collect()) or [words]  # at most ``words``
+    in_sketch, in_item = Bitmap(keys.select(F.col("key").alias("x")), bitmap_bits), Bitmap(shingled.select(F.explode("h").alias("x")), bitmap_bits)
+    hits = _shingled(docs.select("doc_id", "text"), sizes).select("doc_id", "text", F.array_distinct(F.filter("h", in_sketch.may_hold)).alias("hits"))
+    # explode_outer: a filter on the array would be pushed below it and evaluate it twice
+    some = hits.select("doc_id", "text", F.explode_outer(F.expr("IF(size(hits) > 0, array(hits), NULL)")).alias("hits")).where("hits IS NOT NULL")
+    probed = C.materialise(some.withColumn("row", F.monotonically_increasing_id()), "probed")
+    # written, so that the numbers stay: each document's shingles that may be an item's, and its candidates
+    of = _shingled(probed.select("row", "doc_id", "text"), sizes)
+    mine, before = [], F.lit(0)
+    for n in sizes:
+        mine.append(_texts(n, _held(in_item, before)))
+        before = before + F.greatest(F.size("w") - n + 1, F.lit(0))
+    of = of.select("row", "doc_id", (mine[0] if len(mine) == 1 else F.concat(*mine)).alias("mine"))
+    pairs = probed.select("row", F.explode("hits").alias("key")).join(keys, "key").select("row", "item").distinct()
+    exact = pairs.join(of, "row").join(shingled.select("item", "item_id", "n", "shingles"), "item").select("doc_id", "item_id", "n", F.size(F.array_intersect("shingles", "mine")).alias("found"))
+    best = exact.where(F.col("found") * 100 >= F.col("n") * percent).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("found") / F.col("n"), "found", "n")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.n").cast("bigint").alias("n_shingles"), F.col("x.found").cast("bigint").alias("n_found"), F.round(F.col("x.found") / F.col("x.n"), 6).alias("containment"))
 
 

@@ -99,9 +99,9 @@ y AS (SELECT x.doc_id, count(cov.p) AS n_removed, string_agg(word, ' ' ORDER BY
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y USING (doc_id)
 """,
     "op8_decontamination": f"""
-WITH i AS (SELECT item_id, {_TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
-si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM i WHERE len(w) >= 5)),
-sd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM d WHERE len(w) >= 5)),
+WITH i AS (SELECT item_id, w, least(len(w), 5) AS size FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) > 0), d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + size - 1], ' ') AS s FROM (SELECT item_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k FROM i)),
+sd AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + size - 1], ' ') AS s FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id), f AS (SELECT doc_id, item_id, count(*) AS n_found FROM sd JOIN si USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment FROM f JOIN n USING (item_id) WHERE n_found * 100 >= n_shingles * 80
 """,
