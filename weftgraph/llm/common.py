@@ -31,6 +31,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return shared_table(df, name)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if its rows come in the same order whenever they are read (from files), else a written copy."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialise(df, "settled") if "Exchange" in plan or "ShuffleQueryStage" in plan else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add (names compare without case)."""
     taken = {n.lower() for n in names}

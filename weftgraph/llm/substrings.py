@@ -3,17 +3,21 @@
 First pass: each batch of documents makes a partition sketch, a count-min sketch of its windows.
 Windows are counted by their minimiser, the smallest hash among the 20-word grams inside: equal
 windows have equal minimisers, so that a count of minimisers, as one of sketch cells, can only
-overestimate that of a window. The sketch is dealt by range of hashes (its ranges grow in number
-with the input, their size is fixed), sent sparse, and merged range by range; where all cells of a
-minimiser count two or more, the windows around its places are estimated repeated. None is lost.
+overestimate that of a window. The sketch is dealt by range of hashes (the ranges grow in number
+with the input, each has the same number of counters) and sent as the cells that are not zero; range
+by range the partition sketches are added up, and each minimiser is looked up in the sum: where every
+counter is two or more, the windows around its places are estimated repeated. None is lost.
 
 Second pass: only those windows are hashed whole (with the minimiser's hash, 128 bits) and grouped
-exactly, again by the minimiser's range. Windows that repeat within a batch are decided there and
-sent once, so that no passage, however common, makes a group larger than the number of batches.
+exactly, again by the minimiser's range; those that lie one after another travel as runs. Windows
+that repeat within a batch are decided there and sent once, so that no passage, however common, makes
+a group larger than the number of batches. A range knows a document by its batch and number; the
+batch's table of rows goes along once, and batches that are alike count as often, but are one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,18 +124,25 @@ def _cut(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield int(b[s]), order[s:e]
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each range in turn, from batches sorted by range."""
-    now, rows = None, []
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], np.ndarray]]:
+    """Rows of each range in turn, from batches sorted by range and batch, and how often each came.
+
+    Rows of batches that are alike come as one; those of negative ranges come a thousand at a time.
+    """
+    now, rows, times = None, [], []
     for b in batches:
         for r in b.to_pylist():
-            if r["range"] != now or now < 0 and len(rows) >= 2000:
+            if r["range"] != now or now < 0 and len(rows) >= 1000:
                 if rows:
-                    yield now, rows
-                now, rows = r["range"], []
-            rows.append(r)
+                    yield now, rows, np.array(times)
+                now, rows, times = r["range"], [], []
+            if rows and rows[-1]["batch"] == r["batch"]:
+                times[-1] += 1
+            else:
+                rows.append(r)
+                times.append(1)
     if rows:
-        yield now, rows
+        yield now, rows, np.array(times)
 
 
 def _packed(x: np.ndarray, kind: str) -> bytes:
@@ -145,97 +156,131 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
-    return np.concatenate([_unpacked(r[name], kind) for r in rows])
-
-
 def _steps(x: np.ndarray) -> bytes:
-    """Places as differences, small where rows lie in the order of the texts."""
+    """Numbers as differences, small where rows lie in the order of the texts."""
     return _packed(np.diff(x, prepend=0), "<i4")
 
 
-def _stepped(rows: list[dict], name: str) -> np.ndarray:
-    return np.concatenate([np.cumsum(_unpacked(r[name], "<i4"), dtype=np.int64) for r in rows])
+def _stepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, "<i4"), dtype=np.int64)
 
 
-def _answers(doc_key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """(doc, at): for each document the places found, packed."""
-    order = np.lexsort((at, doc_key))
-    keys, out = [], []
-    for k, i in _cut(order, doc_key):
-        keys.append(k)
-        out.append(at[i].astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc", "at"])
+#: What batches send. Range -2: the batch's table, doc (the number of each row's text) and x (the rows'
+#: keys); -1: places that the batch itself found, doc, at, n (how many in a row); others: x and y, hashes.
+_MESSAGE = "range int, batch binary, doc binary, at binary, n binary, times binary, x binary, y binary"
+#: Kind 0: a batch's table, doc and at as doc and x above; kind 1: places found, doc, at, n.
+_ANSWER = "batch binary, kind int, doc binary, at binary, n binary"
+KEY_BYTES = 24
 
 
-_ANSWER = "doc bigint, at binary"
+class Batch:
+    """A batch of documents, each text once, and the messages that it sends."""
 
+    def __init__(self, texts: list[bytes], keys: list[bytes]):
+        number: dict[bytes, int] = {}
+        self.row_doc = np.array([number.setdefault(t, len(number)) for t in texts], dtype=np.int64)
+        self.texts, self.keys = list(number), keys
+        self.times = np.minimum(np.bincount(self.row_doc, minlength=len(number)), 2)
+        self.id = hashlib.md5(b"".join(keys), usedforsecurity=False).digest()
+        self.out: list[tuple] = []
 
-def _sketches(ranges: int, window: int, gram: int):
-    """Partition sketches, as (range, cells of each row, which document and place): a minimiser once a batch.
+    def send(self, range_: int, doc=b"", at=b"", n=b"", times=b"", x=b"", y=b"") -> None:
+        self.out.append((range_, self.id, doc, at, n, times, x, y))
 
-    Those that a batch itself holds twice are estimated repeated at once: range -1 has their places.
-    """
+    def messages(self) -> pa.RecordBatch:
+        self.send(-2, doc=_packed(self.row_doc, "<u4"), x=b"".join(self.keys))
+        names = [f.split(" ")[0] for f in _MESSAGE.split(", ")]
+        kinds = [pa.int32()] + [pa.binary()] * (len(names) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.out, strict=True), kinds, strict=True)], names)
+
+
+def _sketches(ranges: int, window: int, gram: int):
+    """Partition sketches: the cells of each minimiser, once a batch, with the place where it is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, size=4_000_000):
-            w = Windows(C.utf8(b.column("text")), window, gram)
+            batch = Batch(C.utf8(b.column("text")), b.column("row").to_pylist())
+            w = Windows(batch.texts, window, gram)
             at = w.minimisers()
             if not len(at):
                 continue
-            key = b.column("doc").to_numpy()
-            h = w.gram[at]
-            doc = w.doc[at]
+            h, doc = w.gram[at], w.doc[at]
             place = at - w.first[doc]
-            _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            twice = n[inverse] > 1
-            cols: list[list] = [[], [], [], [], []]
-            for d, i in _cut(np.flatnonzero(twice), doc):
-                for c, x in zip(cols, (-1, b"", key[d : d + 1].tobytes(), _steps(place[i]), b""), strict=True):
-                    c.append(x)
+            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            n = np.bincount(inverse, weights=batch.times[doc])
+            i = np.flatnonzero(n[inverse] > 1)  # repeated by the batch's own count
+            if len(i):
+                batch.send(-1, doc=_steps(doc[i]), at=_steps(place[i]))
             i = np.sort(first)  # in the order of the texts
             times = np.minimum(n[inverse[i]], 2)
-            bucket = _range_of(h[i], ranges)
-            cells = _cells(h[i])
+            bucket, cells = _range_of(h[i], ranges), _cells(h[i])
             for r, j in _cut(np.argsort(bucket, kind="stable"), bucket):
-                k = i[j]
-                for c, x in zip(cols, (r, b"".join(_packed(x[j], "<u4") for x in cells), _packed(key[doc[k]], "<i8"), _steps(place[k]), _packed(times[j], "u1")), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["range", "cells", "docs", "at", "n"])
+                batch.send(r, doc=_steps(doc[i[j]]), at=_steps(place[i[j]]), times=_packed(times[j], "u1"), x=b"".join(_packed(x[j], "<u4") for x in cells))
+            yield batch.messages()
 
     return run
 
 
+def _answered(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in _ANSWER.split(", ")])
+
+
+def _passed_on(r: int, rows: list[dict]) -> pa.RecordBatch:
+    """The rows of a negative range as answers."""
+    return _answered([(x["batch"], 0, x["doc"], x["x"], b"") if r == -2 else (x["batch"], 1, x["doc"], x["at"], x["n"]) for x in rows])
+
+
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge a range's sketches; the places whose every cell counts two or more."""
-    for r, rows in _by_range(batches):
-        at = _stepped(rows, "at")
+    """Add a range's partition sketches up, and look its minimisers up: the places whose every counter has two or more."""
+    counters = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+    for r, rows, often in _by_range(batches):
         if r < 0:
-            docs = np.concatenate([np.repeat(np.frombuffer(x["docs"], "<i8"), len(x["at"]) // 4) for x in rows])
-            yield _answers(docs, at)
+            yield _passed_on(r, rows)
             continue
-        docs, n = _joined(rows, "docs", "<i8"), _joined(rows, "n", "u1")
-        hot = n == 1  # those with more are answered already
+        part = [np.stack([_unpacked(x["x"][k * len(x["x"]) // DEPTH : (k + 1) * len(x["x"]) // DEPTH], "<u4") for k in range(DEPTH)]) for x in rows]
+        own = [_unpacked(x["times"], "u1") for x in rows]
+        estimate = [np.full(len(n), 2, np.uint32) for n in own]
         for k in range(DEPTH):
-            cell = np.concatenate([_unpacked(x["cells"][k * (len(x["cells"]) // DEPTH) : (k + 1) * (len(x["cells"]) // DEPTH)], "<u4") for x in rows])
-            _, inverse = np.unique(cell, return_inverse=True)
-            hot &= np.bincount(inverse, weights=n)[inverse] >= 2
-        if hot.any():
-            yield _answers(docs[hot], at[hot])
+            for cells, n, m in zip(part, own, often.tolist(), strict=True):  # the merge
+                np.add.at(counters, cells[k], np.minimum(n * np.uint32(m), 2))
+            estimate = [np.minimum(e, counters[cells[k]]) for e, cells in zip(estimate, part, strict=True)]
+            for cells in part:
+                counters[cells[k]] = 0
+        out = []
+        for x, e, n in zip(rows, estimate, own, strict=True):
+            hot = (e >= 2) & (n == 1)  # those with more the batch has told itself
+            if hot.any():
+                out.append((x["batch"], 1, _steps(_stepped(x["doc"])[hot]), _steps(_stepped(x["at"])[hot]), b""))
+        if out:
+            yield _answered(out)
+
+
+def _runs(*columns: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where runs start: places one after another that agree in ``columns``."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    new = at[1:] != at[:-1] + 1
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, new])
 
 
 def _exact(ranges: int, window: int, gram: int):
-    """The windows around the places found, hashed whole; rows as in ``_sketches``, with hashes for cells."""
+    """The windows around the places found, hashed whole, as runs of windows with one minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "__text", size=4_000_000):
-            w = Windows(C.utf8(b.column("__text")), window, gram)
+            batch = Batch(C.utf8(b.column("__text")), b.column("__row").to_pylist())
+            w = Windows(batch.texts, window, gram)
             if not w.valid.any():
                 continue
-            key = b.column("__row").to_numpy()
+            found: dict[int, set[bytes]] = {}
+            for d, packed in zip(batch.row_doc.tolist(), b.column("__at").to_pylist(), strict=True):
+                found.setdefault(d, set()).update(packed)
             mark = np.zeros(len(w.low), dtype=bool)
-            for d, packed in enumerate(b.column("__at").to_pylist()):
-                hot = np.unique(w.gram[np.frombuffer(b"".join(packed), "<u4").astype(np.int64) + w.first[d]])
+            for d, packed in found.items():
+                hot = np.unique(w.gram[np.frombuffer(b"".join(packed), "<u4")[::2].astype(np.int64) + w.first[d]])
                 s, e = int(w.first[d]), min(int(w.first[d]) + len(w.words[d]), len(w.low))
                 part = w.low[s:e]
                 i = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
@@ -243,49 +288,94 @@ def _exact(ranges: int, window: int, gram: int):
             at = np.flatnonzero(mark)
             if not len(at):
                 continue
-            low, whole = w.low[at], _rolled(w.hash, window)[at]
-            doc = w.doc[at]
+            low, whole, doc = w.low[at], _rolled(w.hash, window)[at], w.doc[at]
             place = at - w.first[doc]
-            pair = np.empty(len(at), dtype=[("a", "<u8"), ("b", "<u8")])
-            pair["a"], pair["b"] = low, whole
-            order = np.lexsort((whole, low))
-            same = np.r_[False, pair[order][1:] == pair[order][:-1]]
-            group = np.empty(len(at), np.int64)
-            group[order] = np.cumsum(~same) - 1
-            n = np.bincount(group)
-            first = np.zeros(len(n), np.int64)
-            first[group[::-1]] = np.arange(len(at))[::-1]
-            cols: list[list] = [[], [], [], [], [], []]
-            for d, i in _cut(np.flatnonzero(n[group] > 1), doc):
-                for c, x in zip(cols, (-1, b"", b"", key[d : d + 1].tobytes(), _steps(place[i]), b""), strict=True):
-                    c.append(x)
-            first = np.sort(first)  # in the order of the texts
-            times = np.minimum(n[group[first]], 2)
-            bucket = _range_of(low[first], ranges)
+            group = _groups(low, whole)
+            n = np.bincount(group, weights=batch.times[doc])
+            first = np.full(len(n), len(at))
+            np.minimum.at(first, group, np.arange(len(at)))
+            i = np.flatnonzero(n[group] > 1)
+            if len(i):
+                s = _runs(doc[i], at=place[i])
+                batch.send(-1, doc=_steps(doc[i][s]), at=_steps(place[i][s]), n=_packed(np.diff(np.r_[s, len(i)]), "<u4"))
+            i = np.sort(first)  # in the order of the texts
+            times = np.minimum(n[group[i]], 2)
+            s = _runs(doc[i], low[i], at=place[i])
+            length = np.diff(np.r_[s, len(i)])
+            bucket = _range_of(low[i][s], ranges)
             for r, j in _cut(np.argsort(bucket, kind="stable"), bucket):
-                k = first[j]
-                for c, x in zip(cols, (r, _packed(low[k], "<u8"), _packed(whole[k], "<u8"), _packed(key[doc[k]], "<i8"), _steps(place[k]), _packed(times[j], "u1")), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["range", "low", "whole", "docs", "at", "n"])
+                k = np.concatenate([np.arange(s[x], s[x] + length[x]) for x in j.tolist()])  # the runs' windows
+                batch.send(r, doc=_steps(doc[i][s[j]]), at=_steps(place[i][s[j]]), n=_packed(length[j], "<u4"), times=_packed(times[k], "u1"), x=_packed(low[i][s[j]], "<u8"), y=_packed(whole[i][k], "<u8"))
+            yield batch.messages()
 
     return run
 
 
+def _groups(low: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A number for each distinct pair."""
+    order = np.lexsort((whole, low))
+    new = np.r_[True, (low[order][1:] != low[order][:-1]) | (whole[order][1:] != whole[order][:-1])]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for r, rows in _by_range(batches):
-        at = _stepped(rows, "at")
+    """Group a range's windows exactly: those that more than one place has, as runs."""
+    for r, rows, often in _by_range(batches):
         if r < 0:
-            yield _answers(np.concatenate([np.repeat(np.frombuffer(x["docs"], "<i8"), len(x["at"]) // 4) for x in rows]), at)
+            yield _passed_on(r, rows)
             continue
-        docs, n = _joined(rows, "docs", "<i8"), _joined(rows, "n", "u1")
-        low, whole = _joined(rows, "low", "<u8"), _joined(rows, "whole", "<u8")
-        order = np.lexsort((whole, low))
-        new = np.r_[True, (low[order][1:] != low[order][:-1]) | (whole[order][1:] != whole[order][:-1])]
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        hit = (np.bincount(group, weights=n)[group] >= 2) & (n == 1)
-        if hit.any():
-            yield _answers(docs[hit], at[hit])
+        length = [_unpacked(x["n"], "<u4").astype(np.int64) for x in rows]
+        low = np.concatenate([np.repeat(_unpacked(x["x"], "<u8"), n) for x, n in zip(rows, length, strict=True)])
+        whole = np.concatenate([_unpacked(x["y"], "<u8") for x in rows])
+        own = [_unpacked(x["times"], "u1") for x in rows]
+        group = _groups(low, whole)
+        total = np.bincount(group, weights=np.concatenate([np.minimum(n * m, 2.0) for n, m in zip(own, often.tolist(), strict=True)]))
+        hit = (total[group] >= 2) & (np.concatenate(own) == 1)
+        out, at = [], 0
+        for x, n in zip(rows, length, strict=True):
+            size = int(n.sum())
+            mine = np.flatnonzero(hit[at : at + size])
+            at += size
+            if len(mine):
+                stop = np.cumsum(n)
+                run = np.searchsorted(stop, mine, side="right")
+                doc = _stepped(x["doc"])[run]
+                place = _stepped(x["at"])[run] + mine - (stop - n)[run]
+                s = _runs(doc, at=place)
+                out.append((x["batch"], 1, _steps(doc[s]), _steps(place[s]), _packed(np.diff(np.r_[s, len(mine)]), "<u4")))
+        if out:
+            yield _answered(out)
+
+
+def _to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, at): what was found in each row, from answers sorted by batch and kind.
+
+    at: pairs of 32-bit numbers, a place and how many in a row.
+    """
+
+    def told(table: dict, answers: list[dict]) -> pa.RecordBatch:
+        doc = np.concatenate([_stepped(x["doc"]) for x in answers])
+        at = np.concatenate([_stepped(x["at"]) for x in answers])
+        n = np.concatenate([_unpacked(x["n"], "<u4") if x["n"] else np.ones(len(_stepped(x["at"])), "<u4") for x in answers])
+        order = np.lexsort((at, doc))
+        of = {d: np.stack([at[i], n[i]], axis=1).astype("<u4").tobytes() for d, i in _cut(order, doc)}
+        keys, row_doc = table["at"], _unpacked(table["doc"], "<u4").tolist()
+        rows = {keys[KEY_BYTES * k : KEY_BYTES * (k + 1)]: of[d] for k, d in enumerate(row_doc) if d in of}
+        return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.binary())], ["row", "at"])
+
+    table, answers = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["kind"] == 0:
+                if answers:
+                    yield told(table, answers)
+                table, answers = r, []
+            else:
+                answers.append(r)
+    if answers:
+        yield told(table, answers)
 
 
 def _remove(window: int):
@@ -294,15 +384,13 @@ def _remove(window: int):
             texts, totals, gone = [], [], []
             for text, found in zip(C.utf8(b.column("__text")), b.column("__at").to_pylist(), strict=True):
                 words = text.split()
+                kept = words
                 if found:
-                    step = np.zeros(len(words) + 1, dtype=np.int32)
-                    starts = np.unique(np.frombuffer(b"".join(found), "<u4")).astype(np.int64)
-                    step[starts] += 1
-                    np.subtract.at(step, starts + window, 1)
-                    keep = np.cumsum(step)[:-1] == 0
-                    kept = [words[i] for i in np.flatnonzero(keep).tolist()]
-                else:
-                    kept = words
+                    step = np.zeros(len(words) + 1, dtype=np.int64)
+                    start, n = np.frombuffer(b"".join(found), "<u4").astype(np.int64).reshape(-1, 2).T
+                    np.add.at(step, start, 1)
+                    np.subtract.at(step, start + n - 1 + window, 1)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(step)[:-1] == 0).tolist()]
                 texts.append(b" ".join(kept))
                 totals.append(len(words))
                 gone.append(len(words) - len(kept))
@@ -329,20 +417,24 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, gram: int = 20) ->
     n = C.partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(n, 64, -(-size // 6 // RANGE))
-    # rows are told apart by 64 bits of (doc_id, text); equal rows have equal answers
-    row = F.xxhash64(F.col("doc_id"), F.col("text"), F.length("text"))
-    keyed = docs.select(row.alias("doc"), F.col("text"))
-    sketch = C.map_batches(keyed, _sketches(ranges, window, gram), "range int, cells binary, docs binary, at binary, n binary")
-    spread = F.when(F.col("range") < 0, F.xxhash64("docs")).otherwise(F.lit(0))
-    dealt = sketch.repartition(n, "range", spread).sortWithinPartitions("range")
-    answered = lambda df: df.groupBy(F.col("doc").alias("__row")).agg(F.collect_list("at").alias("__at"))  # noqa: E731  bounded by a document's own places
-    places = answered(C.map_batches(dealt, _estimate, _ANSWER))
+    docs = C.settled(docs)  # a batch that is made again must be the same
+    # rows are told apart by 128 bits of their text; doc_id deals those that share it. Equal texts have equal answers
+    row = F.concat(C.text_key(), F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))
+    sketch = C.map_batches(docs.select(row.alias("row"), "text"), _sketches(ranges, window, gram), _MESSAGE)
+    spread = F.when(F.col("range") < 0, F.xxhash64("batch")).otherwise(F.lit(0))
+
+    def answered(messages: DataFrame, decide) -> DataFrame:
+        dealt = messages.repartition(n, "range", spread).sortWithinPartitions("range", "batch")
+        told = C.map_batches(dealt, decide, _ANSWER).repartition(n, "batch").sortWithinPartitions("batch", "kind")
+        # a set: what many batches say of a row that repeats is the same
+        return C.map_batches(told, _to_rows, "row binary, at binary").groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("__at"))
+
     rest = C.without(docs, "text", "n_words", "n_removed").columns
     # both joins take the same rows with the same columns, so that the texts are shuffled once
     all_rows = docs.select(*[docs[f"`{c}`"] for c in rest], docs["text"].alias("__text"), row.alias("__row"))
-    exact = C.map_batches(all_rows.join(places, "__row"), _exact(ranges, window, gram), "range int, low binary, whole binary, docs binary, at binary, n binary")
-    dealt = exact.repartition(n, "range", spread).sortWithinPartitions("range")
-    starts = answered(C.map_batches(dealt, _decide, _ANSWER))
+    places = answered(sketch, _estimate)
+    exact = C.map_batches(all_rows.join(places, "__row"), _exact(ranges, window, gram), _MESSAGE)
+    starts = answered(exact, _decide)
     joined = all_rows.join(starts, "__row", "left").drop("__row")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = C.map_batches(joined, _remove(window), f"{fields}, text string, n_words bigint, n_removed bigint")
