@@ -90,6 +90,43 @@ def test_plan_holds_exactly_the_histogram(hist):
     assert got == Counter(hist)
 
 
+@pytest.mark.parametrize(("n", "share"), [(55_000, 0.9), (250_000, 0.95)])
+def test_the_program_places_most(n, share):
+    """Of log-normal lengths the rounded program holds nearly all tokens, and all together need hardly more than their sum."""
+    import numpy as np
+
+    hist = dict(Counter(np.clip(np.random.default_rng(0).lognormal(5.5, 1.0, n).astype(int), 1, 4096).tolist()))
+    total, full = sum(k * v for k, v in hist.items()), hist.get(4096, 0)
+    hist.pop(4096, None)
+    left = dict(hist)
+    configs = packing.rounded(left, packing.fractional(hist, 4096, 2, 24, 0.02, 0.05, 0.01))
+    assert sum(sum(c) * k for c, k in configs) >= share * sum(k * v for k, v in hist.items())
+    hist[4096] = full
+    assert sum(k for _, k in packing.plan(hist, 4096)) <= -(-total // 4096) + 4
+
+
+def test_the_knapsack_prices_as_all_configurations_do():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        ls, capacity = np.sort(rng.choice(np.arange(2, 12), 4, replace=False)), int(rng.integers(5, 24))
+        ps = rng.random(4) * ls
+        every = itertools.product(*(range(capacity // x + 1) for x in ls.tolist()))
+        want = max(float(np.dot(c, ps)) for c in every if np.dot(c, ls) <= capacity)
+        assert packing.price(ls, ps, capacity)[capacity] == pytest.approx(want)
+
+
+def test_packing_deals_pieces_that_are_alike(spark):
+    """Equal rows, all without an id: no window holds more than a few times ``group`` of them."""
+    df = spark.range(20_000).select(F.lit(None).cast("int").alias("doc_id"), F.lit("the same text").alias("text"))
+    out = packing.pack(df)
+    assert out.count() == 20_000
+    _gapless(out.collect(), 4096)
+
+
 # 2: quality rules
 
 

@@ -3,10 +3,10 @@
 A configuration is a multiset of lengths that fits one sequence. The covering program (as few
 configurations as possible that hold every piece) is solved by multiplicative weights: a length's
 weight falls exponentially with the share of it that is covered, a knapsack dynamic program prices
-configurations under those weights, and configurations within ``slack`` of the best price are taken
-in small steps. The fractional solution is rounded by carrying remainders from one configuration to
-the next, and what is then left over goes best-fit into the room of open sequences, in bulk by
-length. The driver sees only the histogram (at most ``capacity`` counts); the pieces are ranked
+configurations under those weights, and configurations within ``slack`` of the best price are taken,
+priced anew until all but ``enough`` of the tokens are covered. The fractional solution is rounded up
+as far as pieces are left, and what then remains goes best-fit into the room of open sequences, in
+bulk by length. The driver sees only the histogram (at most ``capacity`` counts); the pieces are ranked
 within their length and find their place from the plan by binary search.
 """
 
@@ -191,83 +191,97 @@ def tokenise(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, keep_i
     return C.map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
 
 
-def price(lengths: np.ndarray, profit: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack: the best profit within each room 0..capacity, and the length taken last (-1: none).
+def price(lengths: np.ndarray, profit: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: the best profit within each room 0..capacity.
 
     Lengths that a shorter one with as much profit dominates are never in a best configuration.
     """
     best = np.maximum.accumulate(profit)
     front = np.r_[True, profit[1:] > best[:-1]]
     ls, ps = lengths[front], profit[front]
-    value, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
+    value = np.zeros(capacity + 1)
     fits = np.searchsorted(ls, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         k = fits[c]
-        value[c] = value[c - 1]
-        if k:
-            got = ps[:k] + value[c - ls[:k]]
-            j = int(got.argmax())
-            if got[j] > value[c]:
-                value[c], taken[c] = got[j], ls[j]
-    return value, taken
+        value[c] = max(value[c - 1], (ps[:k] + value[c - ls[:k]]).max()) if k else value[c - 1]
+    return value
 
 
-def _trace(taken: np.ndarray, room: int) -> list[int]:
-    out = []
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            out.append(int(taken[room]))
-            room -= out[-1]
-    return out
-
+def fractional(hist: dict[int, int], capacity: int, rounds: int, passes: int, slack: float, rate: float, enough: float) -> dict[tuple[int, ...], float]:
+    """The covering program's solution by multiplicative weights: configuration -> times.
 
-def fractional(hist: dict[int, int], capacity: int, rounds: int, slack: float, rate: float) -> dict[tuple[int, ...], float]:
-    """The covering program's solution by multiplicative weights: configuration -> times."""
+    A pass prices configurations under the weights of what is still uncovered of each length, then
+    takes configurations within ``slack`` of the best price, length by length, until each length has
+    got its share (1 / ``rounds`` of its pieces) or no such configuration is left of lengths that
+    have not. Then it prices again; it ends when all but ``enough`` of the tokens are covered.
+    """
     lengths = np.array(sorted(hist), dtype=np.int64)
     demand = np.array([hist[x] for x in lengths.tolist()], dtype=np.float64)
-    index = {x: i for i, x in enumerate(lengths.tolist())}
-    covered, times = np.zeros(len(lengths)), defaultdict(float)
-    for t in range(1, rounds + 1):
-        profit = lengths * np.exp(-rate * np.maximum(covered / demand - (t - 1) / rounds, -1))
-        value, taken = price(lengths, profit, capacity)
-        late = np.argsort(covered / demand, kind="stable")
-        for i in late.tolist():
-            lag = t / rounds * demand[i] - covered[i]
-            room = capacity - int(lengths[i])
-            if lag <= 0 or profit[i] + value[room] < (1 - slack) * value[capacity]:
-                continue
-            config = [int(lengths[i]), *_trace(taken, room)]
-            use: dict[int, int] = defaultdict(int)
-            for x in config:
-                use[index[x]] += 1
-            step = min([lag / use[i], *((t / rounds * demand[j] - covered[j]) / a for j, a in use.items() if j != i)])
-            if step <= 1e-12:
-                continue
-            times[tuple(sorted(config, reverse=True))] += step
-            for j, a in use.items():
-                covered[j] += a * step
+    left, times = demand.copy(), defaultdict(float)
+    for _ in range(passes):
+        live = np.flatnonzero(left > 1e-9)
+        if not len(live) or (lengths * left).sum() <= enough * (lengths * demand).sum():
+            break
+        ls, uncovered = lengths[live], left[live] / demand[live]
+        profit = ls * np.exp(rate * (uncovered - uncovered.max()))
+        value = price(ls, profit, capacity)
+        least = (1 - slack) * value[capacity]
+        room = np.minimum(left[live], np.ceil(demand[live] / rounds))
+        for i in np.argsort(-profit, kind="stable").tolist():
+            while room[i] > 1e-9:
+                use, c, got = {i: 1}, capacity - int(ls[i]), profit[i]
+                while c >= ls[0]:
+                    k = int(np.searchsorted(ls, c, side="right"))
+                    total = np.where(room[:k] > 1e-9, profit[:k] + value[c - ls[:k]], -1.0)
+                    top = total.max()
+                    if top <= 0 or got + top < least:
+                        break
+                    # of the lengths that are as good, that of which most is left
+                    near = np.flatnonzero(total >= top * (1 - slack / 4))
+                    j = int(near[room[near].argmax()])
+                    use[j], c, got = use.get(j, 0) + 1, c - int(ls[j]), got + profit[j]
+                if got < least:
+                    break
+                step = min(room[j] / a for j, a in use.items())
+                step = float(int(step)) if step >= 1 else step
+                times[tuple(sorted((int(ls[j]) for j, a in use.items() for _ in range(a)), reverse=True))] += step
+                for j, a in use.items():
+                    room[j] = max(0.0, room[j] - a * step)
+                    left[live[j]] = max(0.0, left[live[j]] - a * step)
     return times
 
 
-def plan(hist: dict[int, int], capacity: int, rounds: int = 24, slack: float = 0.05, rate: float = 4.0) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations with whole numbers of sequences that hold exactly the pieces of ``hist``."""
-    left = {x: n for x, n in hist.items() if n > 0}
-    open_: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
-    if capacity in left:
-        open_[0][(capacity,)] = left.pop(capacity)
-    carry = 0.0
-    for config, x in sorted(fractional(left, capacity, rounds, slack, rate).items(), key=lambda p: (-p[1], p[0])) if left else ():
+def rounded(left: dict[int, int], times: dict[tuple[int, ...], float]) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations with whole numbers of sequences, each its times rounded up as far as pieces are ``left``, which are taken."""
+    out = []
+    for config, x in sorted(times.items(), key=lambda p: (-p[1], p[0])):
         need: dict[int, int] = defaultdict(int)
         for v in config:
             need[v] += 1
-        n = min([int(x + carry + 1e-9), *(left[v] // a for v, a in need.items())])
-        carry = min(x + carry - n, 1.0) if n >= 0 else carry
+        n = min([int(np.ceil(x - 1e-9)), *(left[v] // a for v, a in need.items())])
         if n > 0:
-            open_[capacity - sum(config)][config] += n
+            out.append((config, n))
             for v, a in need.items():
                 left[v] -= n * a
+    return out
+
+
+def plan(hist: dict[int, int], capacity: int, rounds: int = 2, passes: int = 24, slack: float = 0.02, rate: float = 0.05, enough: float = 0.01, fill: float = 0.03) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations with whole numbers of sequences that hold exactly the pieces of ``hist``.
+
+    The rounded solution of the program over all but the shortest pieces, with ``fill`` of the tokens;
+    these, and the pieces that it leaves, go best-fit into the room of its sequences, longest first,
+    and into sequences of their own.
+    """
+    left = {x: n for x, n in hist.items() if n > 0}
+    open_: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
+    if capacity in left:
+        open_[0][(capacity,)] = left.pop(capacity)
+    lengths = sorted(left)
+    tokens = np.cumsum([x * left[x] for x in lengths])
+    main = {x: left[x] for x in lengths[int(np.searchsorted(tokens, fill * tokens[-1])) :]} if lengths else {}
+    for config, n in rounded(left, fractional(main, capacity, rounds, passes, slack, rate, enough)) if main else ():
+        open_[capacity - sum(config)][config] += n
     have = np.zeros(capacity + 1, dtype=bool)
     for room in open_:
         have[room] = room > 0
@@ -323,29 +337,29 @@ def places(configs: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]
     return (a[:, 0] << 44) | a[:, 1], a[:, 1], a[:, 2], a[:, 3], a[:, 4]
 
 
-def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, keep_ids: bool = False, rounds: int = 24, group: int = 128) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, keep_ids: bool = False, rounds: int = 2, group: int = 128) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
     Null and empty texts give one piece with the end id alone; a document is cut only where it is
     longer than ``capacity``, however long; rows that repeat are packed each; a null doc_id stays
-    null; ties in length are broken by (doc_id, piece) and need no rule beyond, as equal rows are
-    interchangeable; an empty table gives no rows. Other columns of ``docs`` are ignored, whatever
+    null; pieces of one length take places in the order in which they were read; an empty table gives no rows. Other columns of ``docs`` are ignored, whatever
     their names.
     """
     C.need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    pieces = C.materialise(tokenise(docs, capacity, tokenizer or default_tokenizer(), end_id, keep_ids), "pieces")
+    # numbered and written: the numbers stay, and deal pieces that are alike
+    pieces = C.materialise(tokenise(docs, capacity, tokenizer or default_tokenizer(), end_id, keep_ids).withColumn("n", F.monotonically_increasing_id()), "pieces")
     counts = pieces.groupBy("length").count()
     hist = {r["length"]: r["count"] for r in counts.collect()}  # at most ``capacity`` rows
     key, first, seq, each, off = places(plan(hist, capacity, rounds))
     # ranks within a length: dealt by (length, salt), so that no length needs a task of its own
     salts = spark.createDataFrame([(n, max(1, min(4096, -(-c // group)))) for n, c in hist.items()], "length bigint, salts int")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts").cast("bigint"))).drop("salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("n"), F.col("salts").cast("bigint"))).drop("salts")
     sizes = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
+    within = Window.partitionBy("length", "salt").orderBy("n")
     ranked = salted.withColumn("rank", F.row_number().over(within)).join(offsets, ["length", "salt"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     ranked = ranked.select(*names, (F.col("before") + F.col("rank") - 1).alias("rank"))
