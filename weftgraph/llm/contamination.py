@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bits of a probe's bitmap: at most so many as a power of two (2 MB), of which a hash sets one.
+#: Bits of a probe's bitmap: at most so many as a power of two (2 MB), of which a hash sets three.
 BITMAP_BITS = 24
 
 
@@ -61,23 +61,25 @@ def item_sketches(shingled: DataFrame, percent: int) -> DataFrame:
 
 
 class Bitmap:
-    """A set of hashes (column x) as bits, each hash setting one of 2 ** ``bits``; a literal in expressions."""
+    """A Bloom filter of hashes (column x) in 2 ** ``bits`` bits, each hash setting three; a literal in expressions."""
 
     def __init__(self, hashes: DataFrame, bits: int | None):
-        self.bits = bits or min(BITMAP_BITS, max(16, (16 * hashes.count()).bit_length()))
-        words = hashes.select(F.shiftright(self._place(F.col("x")), 6).alias("at"), (self._place(F.col("x")) % 64).cast("int").alias("bit"))
+        self.bits = bits or min(BITMAP_BITS, max(16, (256 * hashes.count()).bit_length()))
+        places = hashes.select(F.explode(F.array(*self._places(F.col("x")))).alias("place"))
+        words = places.select(F.shiftright("place", 6).alias("at"), (F.col("place") % 64).cast("int").alias("bit"))
         words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
         held = {r["at"]: r["word"] for r in words.collect()}  # at most 2 ** (bits - 6) rows
         text = ",".join(str(held.get(k, 0)) for k in range(1 << self.bits - 6))
         self.words = F.split(F.lit(text), ",").cast("array<bigint>")  # folded into a literal
 
-    def _place(self, x: Column) -> Column:
-        return F.shiftrightunsigned(x, 64 - self.bits)
+    def _places(self, x: Column) -> list[Column]:
+        return [F.shiftrightunsigned(y, 64 - self.bits) for y in (x, F.shiftleft(x, self.bits), F.xxhash64(x))]
 
     def may_hold(self, x: Column) -> Column:
-        place = self._place(x)
-        word = F.get(self.words, F.shiftright(place, 6).cast("int"))
-        return F.getbit(word, (place % 64).cast("int")) == 1
+        first, *more = [F.getbit(F.get(self.words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in self._places(x)]
+        for test in more:  # evaluated only where those before hold
+            first = first & test
+        return first
 
 
 def _held(of: Bitmap, before: Column) -> Callable[[Column], Column]:

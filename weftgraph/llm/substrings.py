@@ -419,7 +419,8 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, gram: int = 20) ->
     ranges = max(n, 64, -(-size // 6 // RANGE))
     docs = C.settled(docs)  # a batch that is made again must be the same
     # rows are told apart by 128 bits of their text; doc_id deals those that share it. Equal texts have equal answers
-    row = F.concat(C.text_key(), F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))
+    # (never null: the filter that an inner join adds would keep its rows from being those of the other join)
+    row = F.coalesce(F.concat(C.text_key(), F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0"))), F.lit(b""))
     sketch = C.map_batches(docs.select(row.alias("row"), "text"), _sketches(ranges, window, gram), _MESSAGE)
     spread = F.when(F.col("range") < 0, F.xxhash64("batch")).otherwise(F.lit(0))
 
