@@ -349,69 +349,115 @@ def test_language_scores_as_a_plain_sum():
 # 6: licences
 
 
-def plain_licences(rows, model):
-    out = set()
+def plain_licences(rows, model) -> dict:
+    import re
+
+    out = {}
     index = {g: i for i, g in enumerate(model.grams)}
+    known = [(f, t, licenses.grams_of(licenses.words_of(t), (2, 3))) for f, t in licenses.templates()]
     for k, t, *_ in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            grams = licenses.grams_of(licenses.words_of(line))
-            hits = sorted(index[g] for g in grams if g in index)
-            if not hits:
-                continue
-            p = model.probabilities(hits, len(grams))
-            best = int(p.argmax())
-            if best == len(model.families) - 1 or p[best] < 0.5:
-                continue
-            shares = [len({index[g] for g in licenses.grams_of(licenses.words_of(x)) if g in index} & set(hits)) / len([g for g in licenses.grams_of(licenses.words_of(x)) if g in index]) for x in licenses.TEMPLATES[model.families[best]]]
-            if max(shares) >= 0.6:
-                out.add((k, n, model.families[best], round(float(p[best]), 4)))
+        for n, paragraph in enumerate(re.split(r"\n(?:[^a-z0-9\n]*\n)+", (t or "").lower())):
+            words, found = licenses.words_of(paragraph), []
+            for start in range(0, max(1, len(words) - licenses.PIECE + licenses.STRIDE), licenses.STRIDE):
+                w = words[start : start + licenses.PIECE]
+                if not any(x.startswith(licenses.STEMS) or "gpl" in x for x in w):
+                    continue
+                hits = [index[g] for g in licenses.grams_of(w) if g in index]
+                p = model.probabilities(hits) if hits else np_one(len(model.families))
+                best = int(p.argmax())
+                if model.families[best] == licenses.UNKNOWN or p[best] < 0.5:
+                    continue
+                own = licenses.grams_of(w, (2, 3))
+                share, size, i = max((len(g & own) / len(g), len(g), -i) for i, (f, _, g) in enumerate(known) if f == model.families[best])
+                if share < 0.6:
+                    continue
+                at = [(j, j + m) for m in (2, 3) for j in range(len(w) - m + 1) if " ".join(w[j : j + m]) in known[-i][2]]
+                lo, hi = min(a for a, _ in at), max(b for _, b in at)
+                found.append((-share, lo - hi, start + lo, start + hi, -p[best], model.families[best], " ".join(w[lo:hi])))
+            taken = []
+            for x in sorted(found):
+                if not any(y[2] < x[3] and x[2] < y[3] for y in taken):
+                    taken.append(x)
+                    out[k, n, x[2], x[3] - x[2], x[5], x[6]] = float(-x[4])
     return out
 
 
+def np_one(n):
+    import numpy as np
+
+    return np.eye(n)[-1]
+
+
+def told(df) -> dict:
+    return {(r.doc_id, r.paragraph, r.start_word, r.n_words, r.family, r.statement): r.probability for r in licenses.scan(df).collect()}
+
+
 def test_licences_against_plain(spark, rows, docs, empty):
-    more = [(900 + i, f"some text\n{t}\nmore", "en", "s", 1) for i, t in enumerate(x for f in licenses.TEMPLATES.values() for x in f)]
+    """Generated code must compile: no stage falls back to interpretation."""
+    every = licenses.templates()
+    more = [(10_000 + i, f"some text\n\n{t}\n\nmore", "en", "s", 1) for i, (_, t) in enumerate(every)]
     more += [(980 + i, t, None, None, None) for i, t in enumerate(licenses.OTHERWISE)] + [(None, "Released under the MIT License.", None, None, None)] * 2
     all_rows = rows + more
-    df = spark.createDataFrame(all_rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("family", F.lit("x"))
-    got = {(r.doc_id, r.paragraph, r.family, round(r.probability, 4)) for r in licenses.scan(df).collect()}
-    assert got == plain_licences(all_rows, licenses.fit())
-    named = {k: f for k, _, f, _ in got}
-    want = {900 + i: f for i, f in enumerate(f for f, x in licenses.TEMPLATES.items() for _ in x)}
-    assert sum(named.get(k) == f for k, f in want.items()) >= 0.9 * len(want)
-    assert not any(980 <= k < 1000 for k in named if k is not None)
+    df = spark.createDataFrame(all_rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("family", F.lit("x")).repartition(8)
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = told(df)
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert got == pytest.approx(plain_licences(all_rows, licenses.fit()), abs=1e-5)
+    named = {x[0]: x[4] for x in got}
+    assert sum(named.get(10_000 + i) == f for i, (f, _) in enumerate(every)) >= 0.9 * len(every)
+    assert not any(980 <= k < 1100 for k in named if k is not None)
     assert licenses.scan(empty).count() == 0
 
 
 def test_licences_of_the_table(spark):
     sf = "/root/testdata/sf0.01"
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = {(r.doc_id, r.paragraph, r.family, round(r.probability, 4)) for r in queries.op6_license_scan(spark, sf).collect()}
-    assert got == plain_licences(rows, licenses.fit()) and len({f for _, _, f, _ in got}) == 4
-
-
-def test_licences_over_lines_and_inside_long_ones(spark):
-    """Each statement wrapped at 72 columns, and in the middle of a line of 50, 200 and 2,000 words."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = told(docs)
+    assert got == pytest.approx(plain_licences([(r.doc_id, r.text) for r in docs.collect()], licenses.fit()), abs=1e-5) and len({x[4] for x in got}) >= 4
+
+
+#: Written apart from what the classifier is fitted on.
+UNSEEN = [
+    ("mit", "This code is MIT licensed."), ("mit", "lodash is an open source project, see its MIT License for the details of use"), ("mit", "Copyright (c) 2019 A. Writer. Licensed under the MIT license, as is all of this repository."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish"),
+    ("apache-2.0", "This library may be used under the terms of the Apache License, Version 2.0"), ("apache-2.0", "All of the code is licensed under Apache-2.0 unless a header says otherwise."), ("apache-2.0", "See LICENSE: Apache License 2.0, which covers the whole tree"),
+    ("bsd", "License: BSD"), ("bsd", "The parser is distributed under the 3-clause BSD license, like the rest"), ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted for any purpose"),
+    ("gpl-3.0", "licensed under GPLv3+"), ("gpl-3.0", "You can copy this under the terms of the GNU General Public License v3.0 as you like"), ("gpl-3.0", "the plugin is licensed under the GPL v3 and so is its theme"),
+    ("gpl-2.0", "All source is under the GPL version 2 license."), ("gpl-2.0", "The kernel module is licensed under GPL-2.0, no other version applies"), ("gpl-2.0", "released under the GNU General Public License, version 2, in 1998"),
+    ("agpl-3.0", "The server is available under the terms of the AGPLv3"), ("agpl-3.0", "licensed under the GNU Affero General Public License, for hosted use as well"), ("lgpl", "The bindings are licensed under the LGPL"), ("lgpl", "use it under the terms of the GNU Lesser General Public License, version 2.1, at will"),
+    ("mpl-2.0", "This software is licensed under the MPL 2.0"), ("mpl-2.0", "files in this folder are subject to the Mozilla Public License, version 2.0"), ("epl", "Everything we make is available under the Eclipse Public License v2.0"), ("boost", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)"),
+    ("isc", "Code is copyright its authors and licensed under the ISC License"), ("zlib", "the image loader is released under the zlib license"), ("cc-by-sa", "The docs are licensed under CC BY-SA 4.0"), ("cc-by-sa", "articles are available under the Creative Commons Attribution-ShareAlike License unless noted"),
+    ("cc-by", "Pictures in this talk are licensed under a Creative Commons Attribution 4.0 International License"), ("cc-by-nc", "the data set is published under CC BY-NC 4.0 license terms"), ("public-domain", "I release my work under the CC0 license, do what you want"), ("public-domain", "This is free and unencumbered software that was released into the public domain by me."),
+]
+NO_STATEMENT = [
+    "She holds a driving license under the supervision of a teacher.", "The bar lost its license in March.", "We need permission to redistribute the chairs in the hall.", "The domain of the function is the set of reals.", "An apache pilot flew over the bread market.",
+    "The general public may license stalls, version 3 of the plan says.", "He asked the commons for permission.", "Under the terms of the deal the license moves to the buyer.", "MIT and Boston University published the study.", "the license plate was green",
+]
+
+
+def test_licences_that_were_not_seen(spark):
+    """Recall of at least 0.9 and no false report: alone, wrapped in a comment, and inside 50, 200 and 2,000 words."""
     import random
-    import textwrap
 
     rng = random.Random(2)
     prose = lambda n: " ".join(rng.choices("river stone light over bread glass house walks green seven".split(), k=n))
-    statements = [(t, f) for f, x in licenses.TEMPLATES.items() for t in x]
     rows, want = [], {}
-    for i, (t, f) in enumerate(statements):
-        forms = ["\n".join(f"# {x}" for x in textwrap.wrap(t, 72)), *(f"{prose(n // 2)} {t} {prose(n // 2)}" for n in (50, 200, 2000))]
+    for i, (f, t) in enumerate(UNSEEN):
+        forms = [t, "\n".join(f" * {x}" for x in textwrap.wrap(t, 40)), *(f"{prose(n // 2)} {t} {prose(n // 2)}" for n in (50, 200, 2000))]
         for k, text in enumerate(forms):
-            rows.append((10 * i + k, f"{prose(9)}\n\n{text}\n\n{prose(9)}"))
+            rows.append((10 * i + k, f"{prose(9)}\n *\n{text}\n\n{prose(9)}"))
             want[10 * i + k] = f
-    rows += [(9000 + i, f"{prose(40)} {t} {prose(40)}") for i, t in enumerate(licenses.OTHERWISE)]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    rows += [(9000 + 10 * i + k, text) for i, t in enumerate(NO_STATEMENT) for k, text in enumerate((t, f"{prose(60)} {t} {prose(60)}"))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
     named = {r.doc_id: r.family for r in got}
-    assert not [k for k in named if k >= 9000]
-    for k in range(4):
+    assert [k for k in named if k >= 9000] == []
+    for k in range(5):
         ids = [i for i in want if i % 10 == k]
-        assert sum(named.get(i) == want[i] for i in ids) >= 0.9 * len(ids), k
-    assert len(got) == len(named)  # one statement, one row
-    assert all(r.paragraph == 2 for r in got)
+        missed = [(UNSEEN[i // 10], named.get(i)) for i in ids if named.get(i) != want[i]]
+        assert len(missed) <= 0.1 * len(ids), (k, missed)
+    assert len(got) == len(named) and all(r.paragraph == 1 for r in got)  # one statement, one row
 
 
 # 7: passages
