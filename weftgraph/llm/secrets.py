@@ -26,7 +26,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "armour", "der", "openssh", "jws")
 
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:\s|\\+[nrt])*[A-Za-z][A-Za-z-]*:\x20[^\n\\]*(?:\r?\n|(?:\\+r)?\\+n))*)((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+#: What stands before the body of a legacy encrypted key: how, and the initial vector.
+_LEGACY = re.compile(r"Proc-Type:\x204,ENCRYPTED[\s\S]*DEK-Info:\x20[A-Z0-9-]+,([0-9A-Fa-f]+)")
+#: Object identifiers under which a key is wrapped by a password: PKCS 5, PKCS 12.
+_BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _JWS = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
 # after a literal \n, \r or \t a run starts at the next character
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<!\\)|(?![nrt]))[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])|(?<=\\[nrt])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
@@ -82,11 +86,14 @@ def _der(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int,
 
 
 def is_der_key(data: bytes) -> bool:
-    """One sequence over all of the data, starting with a small version number, then key material."""
+    """One sequence over all of the data, starting with a small version number, then key material; or a key wrapped by a password."""
     top = _der(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     parts = _der(data, top[0][1], top[0][2])
+    if parts and [t for t, _, _ in parts] == [0x30, 0x04] and parts[1][2] - parts[1][1] >= 32:
+        how = _der(data, parts[0][1], parts[0][2])
+        return bool(how) and how[0][0] == 0x06 and data[how[0][1] : how[0][2]].startswith(_BY_PASSWORD)
     if not parts or len(parts) < 3 or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 3:
         return False
     tags = [t for t, _, _ in parts]
@@ -147,8 +154,9 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of the candidates whose structure parses."""
     inside: list[tuple[int, int]] = []
     for m in _ARMOUR.finditer(text):
-        data = _decode(m[2])
-        if data and (is_der_key(data) or is_openssh_key(data)):
+        data, legacy = _decode(m[3]), _LEGACY.search(m[2])
+        whole = legacy and data and len(data) >= 32 and len(data) % (len(legacy[1]) // 2 or 1) == 0  # whole blocks of the cipher
+        if data and (whole or is_der_key(data) or is_openssh_key(data)):
             inside.append(m.span())
             yield "armour", *m.span()
     for m in _JWS.finditer(text):
