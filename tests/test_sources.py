@@ -105,32 +105,29 @@ def test_scopes():
     assert [(x["entity_type"], x["name"], x["scope_chain"]) for x in s] == [("class", "A", []), ("function", "f", ["A"]), ("parameter", "self", ["A", "f"]), ("parameter", "x", ["A", "f"]), ("variable", "y", ["A", "f"])]
 
 
-@pytest.mark.parametrize(
-    ("question", "found"),
-    [
-        ("Who calls parse_file?", ("callers", ["parse_file"])), ("what depends on util", ("rdeps", ["util"])), ("dependencies of api.py", ("deps", ["api.py"])), ("circular dependencies", ("cycles", [])), ("path from A to B", ("path", ["A", "B"])),
-        ("how is A connected to B", ("path", ["A", "B"])), ("find dead code", ("dead", [])), ("impact of changing validate", ("impact", ["validate"])), ("architecture overview", ("summary", [])), ("make me a sandwich", None), ("describe the Engine", ("entity", ["Engine"])),
-    ],
-)
-def test_router(question, found):
-    assert router.route(question) == found
+QUESTIONS = [
+    ("Who calls parse_file?", ("callers", ["parse_file"])), ("what depends on util", ("rdeps", ["util"])), ("dependencies of api.py", ("deps", ["api.py"])), ("circular dependencies", ("cycles", [])), ("path from A to B", ("path", ["A", "B"])),
+    ("how is A connected to B", ("path", ["A", "B"])), ("find dead code", ("dead", [])), ("impact of changing validate", ("impact", ["validate"])), ("architecture overview", ("summary", [])), ("make me a sandwich", None), ("describe the Engine", ("entity", ["Engine"])),
+    ("who uses the", None), ("exports of core.py?", ("exports", ["core.py?".rstrip("?")])),
+]
+
+
+def _told(spark, classify, texts):
+    rows = classify(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k int, text string"), "text").collect()
+    return [(r.command, r.args.split()) if r.command else None for r in sorted(rows, key=lambda r: r.k)]
 
 
-def test_router_on_a_table(spark):
-    q = ["Who calls parse_file?", "circular dependencies", "path from A to B", "make me a sandwich", "who uses the", "exports of core.py?"]
-    got = {r.question: (r.command, r.args) for r in router.route_questions(spark.createDataFrame([(x,) for x in q], "question string")).collect()}
-    for x in q:
-        r = router.route(x)
-        assert got[x] == ((r[0], " ".join(r[1])) if r else (None, None))
+def test_router(spark):
+    assert _told(spark, router.route_questions, [q for q, _ in QUESTIONS]) == [found for _, found in QUESTIONS]
+    assert router.ask_one(spark, router.route_questions, "path from A to B") == ("path", ["A", "B"])
 
 
-def test_classifiers():
-    assert router.classify_grep("parse_file(") == ("callers", "parse_file")
-    assert router.classify_grep("from core import x") == ("rdeps", "core")
-    assert router.classify_grep("class Engine") == ("entity", "Engine")
-    assert router.classify_grep("MAX_SIZE(") is None and router.classify_grep("x(") is None
-    assert router.classify_explore("find all usages of Widget.") == ("callers", ["widget"])
-    assert router.classify_explore("check for orphan functions") == ("dead", [])
+def test_classifiers(spark):
+    p = ["parse_file(", "from core import x", "class Engine", "MAX_SIZE(", "x("]
+    got = {r.pattern: (r.command, r.name) for r in router.classify_greps(spark.createDataFrame([(x,) for x in p], "pattern string")).collect()}
+    assert got == dict(zip(p, [("callers", "parse_file"), ("rdeps", "core"), ("entity", "Engine"), (None, None), (None, None)], strict=True))
+    asked = ["find all usages of Widget.", "check for orphan functions", "who calls Parser?", "hello there"]
+    assert _told(spark, router.classify_explore, asked) == [("callers", ["widget"]), ("dead", []), ("callers", ["Parser"]), None]
 
 
 def test_keystroke_rules(spark):

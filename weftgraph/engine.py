@@ -88,7 +88,7 @@ class Engine:
 
     def ask(self, question: str) -> DataFrame | None:
         """The answer to a plain-English question; None if it is none that the router knows."""
-        found = router.route(question)
+        found = router.ask_one(self.nodes.sparkSession, router.route_questions, question)
         return self.commands()[found[0]](*found[1]) if found else None
 
     def handle(self, request: dict) -> dict:

@@ -158,7 +158,7 @@ def calls_in(text: str) -> list[str]:
     for m in _CALL.finditer(text):
         name = re.sub(r"::|->", ".", m[1])
         head, last = name.split(".")[0], name.split(".")[-1]
-        if last in KEYWORDS or name == last and last in vocab.builtin_names() or name != last and last in vocab.common_methods():
+        if last in KEYWORDS or name == last and last in vocab.builtin_names() or name != last and last in vocab.COMMON_METHODS:
             continue
         out[last if head in ("this", "self", "super") else name] = None
     return list(out)

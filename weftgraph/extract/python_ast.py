@@ -97,7 +97,7 @@ class _Module:
                 elif r and (t := types.get(r) or self.types.get(r)):
                     if t not in self.foreign:
                         out.append(f"{t}.{f.attr}")
-                elif f.attr not in vocab.builtin_names() and f.attr not in vocab.common_methods():
+                elif f.attr not in vocab.builtin_names() and f.attr not in vocab.COMMON_METHODS:
                     out.append(f"{r}.{f.attr}" if r and r not in vocab.builtin_names() else f.attr)
         return out
 

@@ -24,12 +24,55 @@ def mutual_files(file_edges: DataFrame) -> DataFrame:
 def cyclic_files(file_edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(file_path): files on a cycle of any length.
 
-    Files that nothing leads to, or that lead nowhere, are peeled off until none is left; of the rest
-    those reach themselves, by doubling paths, which are on a cycle and not between two.
+    Files that nothing leads to, or that lead nowhere, are peeled off until none is left. Of the rest
+    each takes the smallest file that leads to it for its label; what leads back to that file within
+    the label is a strongly connected component with it. Components go, and what is left is peeled
+    again. Tables have at most a row a file or pair; no pairs of files far apart are made.
     """
     from ..session import shared_table
 
     e = shared_table(file_pairs(file_edges).where("a <> b"), "pairs")
+    found = []
+    for _ in range(max_rounds):
+        e = _peeled(e, max_rounds)
+        if e.isEmpty():
+            break
+        # the smallest file that leads to each: a component has one label, and a label's own file is a pivot
+        label = shared_table(e.select(F.explode(F.array("a", "b")).alias("file_path")).distinct().withColumn("label", F.col("file_path")), "label")
+        while True:
+            pushed = e.join(label.withColumnRenamed("file_path", "a"), "a").groupBy(F.col("b").alias("file_path")).agg(F.min("label").alias("from"))
+            new = label.join(pushed, "file_path", "left").select("file_path", F.least("label", F.coalesce("from", "label")).alias("label"), (F.col("from") < F.col("label")).alias("moved"))
+            new = shared_table(new, "label")
+            label = new.select("file_path", "label")
+            if new.where("moved").isEmpty():
+                break
+        # what leads back to the pivot within its label lies on a cycle with it
+        a, b = (label.select(F.col("file_path").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+        within = shared_table(e.join(a, "a").join(b, "b").where("label_a = label_b").select("a", "b"), "within")
+        frontier = back = label.where("file_path = label").select("file_path")
+        while True:
+            step = within.join(frontier.withColumnRenamed("file_path", "b"), "b", "left_semi").select(F.col("a").alias("file_path")).distinct()
+            frontier = shared_table(step.join(back, "file_path", "left_anti"), "back")
+            if frontier.isEmpty():
+                break
+            back = back.unionByName(frontier)
+        # a pivot alone is on no cycle of its own label
+        sizes = back.join(label, "file_path").groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(shared_table(back.join(label, "file_path").join(sizes, "label", "left_semi").select("file_path"), "cyclic"))
+        done = back.withColumnRenamed("file_path", "x")
+        e = shared_table(e.join(done, e["a"] == done["x"], "left_anti").join(done, e["b"] == done["x"], "left_anti"), "pairs")
+    else:
+        raise RuntimeError("cyclic files did not settle")
+    out = found[0] if found else e.select(F.col("a").alias("file_path"))
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _peeled(e: DataFrame, max_rounds: int) -> DataFrame:
+    """Pairs less those at whose end nothing leads on, over and over."""
+    from ..session import shared_table
+
     n = e.count()
     for _ in range(max_rounds):
         heads, tails = e.select(F.col("b").alias("a")).distinct(), e.select(F.col("a").alias("b")).distinct()
@@ -38,14 +81,7 @@ def cyclic_files(file_edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if left == n:
             break
         n = left
-    reach = e
-    for _ in range(max_rounds):
-        longer = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        new = shared_table(reach.unionByName(longer).distinct(), "reach")
-        if new.count() == reach.count():
-            break
-        reach = new
-    return reach.where("a = b").select(F.col("a").alias("file_path"))
+    return e
 
 
 def minimal_cycles(file_edges: DataFrame, include_tests: bool = False, max_edges: int = 2_000_000) -> DataFrame:

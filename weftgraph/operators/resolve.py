@@ -76,7 +76,8 @@ def resolve_targets(references: DataFrame, nodes: DataFrame, imported: DataFrame
     suffix. Elsewhere ties go to the first node by ``ord``, in imported and own files to the last. A
     test file's node is no candidate elsewhere unless the reference is in a test file as well.
     """
-    r = references.withColumn("last", N.bare(F.col("name")))
+    # references that a file repeats are resolved once
+    r = references.select("file_path", "name", "kind").distinct().withColumn("last", N.bare(F.col("name")))
     if stop_names:
         r = r.where(~F.col("name").isin(*stop_names))
     n = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("type").alias("kind"), F.col("file_path").alias("target_file"), "ord", N.bare(F.col("name")).alias("last"))
@@ -91,10 +92,68 @@ def resolve_targets(references: DataFrame, nodes: DataFrame, imported: DataFrame
     tie = F.when(F.col("rank").isin(4, 7), F.col("ord")).otherwise(-F.col("ord"))
     # a minimum for each reference: aggregated before the shuffle, so that a common name is no group
     order = F.struct("rank", (-F.col("score")).alias("far"), tie.alias("tie"), "target_id")
-    best = c.groupBy("ref_id").agg(F.min(order).alias("x"), F.count("*").alias("n_candidates"))
+    best = c.groupBy("file_path", "name", "kind").agg(F.min(order).alias("x"), F.count("*").alias("n_candidates"))
     confidence = F.coalesce(*[F.when(F.col("x.rank") == k, v) for k, v in RANKS.items()])
-    best = best.select("ref_id", F.col("x.target_id").alias("target_id"), F.col("x.rank").alias("rank"), confidence.alias("confidence"), "n_candidates")
-    return references.join(best, "ref_id", "left")
+    best = best.select("file_path", "name", "kind", F.col("x.target_id").alias("target_id"), F.col("x.rank").alias("rank"), confidence.alias("confidence"), "n_candidates")
+    out = references.join(best, ["file_path", "name", "kind"], "left")
+    return out.select(*references.columns, "target_id", "rank", "confidence", "n_candidates")
+
+
+def _members(wanted: DataFrame, nodes: DataFrame, rank: int) -> DataFrame:
+    """Of ``wanted`` (name, kind, method, target_file, first, ...): the first node there called so, ``method``, or ending in it."""
+    n = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("type").alias("kind"), F.col("file_path").alias("target_file"), "ord", N.bare(F.col("name")).alias("last"))
+    c = wanted.withColumn("last", N.bare(F.col("method"))).join(n, ["target_file", "kind", "last"])
+    c = c.where("target_name = name OR target_name = method OR endswith(target_name, concat('.', method))")
+    return c.groupBy("file_path", "name", "kind").agg(F.min(F.struct("first", "ord", "target_id")).alias("x")).select("file_path", "name", "kind", F.lit(rank).alias("rank"), F.col("x.target_id").alias("target_id"))
+
+
+def receiver_files(nodes: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
+    """(file_path, receiver, target_file): where the names that a file imports come from.
+
+    By the target of the import, else by the module that it states; the first import of a name counts.
+    """
+    i = nodes.where("type = 'import'").select("id", "file_path", F.col("name").alias("receiver"), "ord", F.expr("get(imports, 0).module").alias("suffix"))
+    t = imports.join(nodes.select(F.col("id").alias("target_id"), F.col("file_path").alias("by_edge"), F.col("ord").alias("target_ord")), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.min_by("by_edge", F.struct("target_ord", "by_edge")).alias("by_edge"))
+    i = i.join(t, "id", "left").join(index.select("suffix", F.col("file_path").alias("by_module")), "suffix", "left").withColumn("target_file", F.coalesce("by_edge", "by_module"))
+    return i.where("target_file IS NOT NULL").groupBy("file_path", "receiver").agg(F.min_by("target_file", "ord").alias("target_file"))
+
+
+def resolve_cascade(references: DataFrame, nodes: DataFrame, imports: DataFrame, inherits: DataFrame | None, index: DataFrame, imported: DataFrame, stop_names: list[str] = ()) -> DataFrame:
+    """``references`` (ref_id, name, file_path, kind) with target_id, rank and confidence, null where nothing is found.
+
+    Ranks, the smallest wins: 0 a stop name is nothing; 1 ``Class.method`` in the file of a class of
+    that name; 2 ``receiver.method`` in the file that the receiver is imported from, or that is a
+    module of that name; 3 to 8 as ``resolve_targets``; 9 the method of an ancestor; 11 any node of
+    the name, whatever its type (definitions before imports, then those outside tests, then the first).
+    ``imports`` and ``inherits`` (source_id, target_id; None: no rank 9) are edges, ``index`` (suffix,
+    file_path) modules.
+    """
+    r = references.select("file_path", "name", "kind").distinct()
+    if stop_names:
+        r = r.where(~F.col("name").isin(*stop_names))
+    dotted = r.where("instr(name, '.') > 0").withColumn("receiver", F.substring_index("name", ".", 1)).withColumn("method", F.expr("substring(name, instr(name, '.') + 1)"))
+    dotted = dotted.where(~F.col("receiver").isin(*stop_names)) if stop_names else dotted
+    defined = nodes.where("type <> 'import'")
+    classes = nodes.where("type = 'class'").select(F.col("name").alias("receiver"), F.col("file_path").alias("target_file"), F.col("ord").alias("first"))
+    one = _members(dotted.where(F.col("receiver").rlike("^[A-Z]")).join(classes, "receiver"), defined, 1)
+    by_import = dotted.join(receiver_files(nodes, imports, index), ["file_path", "receiver"], "left")
+    by_import = by_import.join(index.select(F.col("suffix").alias("receiver"), F.col("file_path").alias("by_module")), "receiver", "left")
+    two = _members(by_import.withColumn("target_file", F.coalesce("target_file", "by_module")).where("target_file IS NOT NULL").withColumn("first", F.lit(0)), defined, 2)
+    ranked = resolve_targets(r.withColumn("ref_id", F.lit(None).cast("string")), defined, imported).where("target_id IS NOT NULL").select("file_path", "name", "kind", "rank", "target_id")
+    nine = []
+    if inherits is not None:
+        up = inherits.select("source_id", "target_id", F.lit("inherits").alias("edge_type"))
+        above = dotted.where("kind = 'function'").select(F.struct("file_path", "name", "kind").alias("ref_id"), F.expr("substring(name, 1, length(name) - instr(reverse(name), '.'))").alias("class_name"), N.bare(F.col("name")).alias("method"))
+        nine = [inherited_method(above, nodes, up).select("ref_id.*", F.lit(9).alias("rank"), "target_id")]
+    every = nodes.select("name", F.struct((F.col("type") == "import").alias("late"), N.is_test_file(F.col("file_path")).alias("test"), "ord", F.col("id").alias("target_id")).alias("x"), N.is_test_file(F.col("file_path")).alias("test"))
+    # a test's own references take tests as they come; aggregated before the join, a row a name
+    every = every.groupBy("name").agg(F.min("x").alias("x"), F.min(F.struct("x.late", "x.ord", "x.target_id")).alias("y"))
+    eleven = r.join(every, "name").select("file_path", "name", "kind", F.lit(11).alias("rank"), F.when(N.is_test_file(F.col("file_path")), F.col("y.target_id")).otherwise(F.col("x.target_id")).alias("target_id"))
+    found = reduce(DataFrame.unionByName, [one, two, ranked, *nine, eleven]).groupBy("file_path", "name", "kind").agg(F.min(F.struct("rank", "target_id")).alias("x"))
+    names = {1: "high", 2: "high"} | RANKS | {9: "low", 11: "low"}
+    confidence = F.coalesce(*[F.when(F.col("x.rank") == k, v) for k, v in names.items()])
+    found = found.select("file_path", "name", "kind", "x.target_id", "x.rank", confidence.alias("confidence"))
+    return references.join(found, ["file_path", "name", "kind"], "left").select(*references.columns, "target_id", "rank", "confidence")
 
 
 def inherited_method(references: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:

@@ -67,19 +67,21 @@ def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int = 10, dire
     """
     moves = adjacency(edges, None, direction)
     first = start.select("id").distinct().select("id", F.lit(0).alias("hops"), F.col("id").alias("path"))
-    if max_depth > UNROLL:
+    deep = max_depth > UNROLL
+    if deep:
         moves, first = shared_table(moves, "moves"), shared_table(first, "paths")
-    seen, frontier = first, first
+    walks, frontier = first, first
     for d in range(1, max_depth + 1):
         step = moves.join(frontier.select(F.col("id").alias("at"), F.col("path").alias("so_far")), "at")
-        step = step.groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", "so_far", "to")).alias("path"))
-        frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("hops"), "path")
-        if max_depth > UNROLL:
-            frontier = shared_table(frontier, "paths")
+        frontier = step.groupBy(F.col("to").alias("id")).agg(F.min(F.concat_ws(">", "so_far", "to")).alias("path")).select("id", F.lit(d).alias("hops"), "path")
+        if deep:
+            frontier = shared_table(frontier.join(walks.select("id"), "id", "left_anti"), "paths")
             if frontier.isEmpty():
                 break
-        seen = seen.unionByName(frontier)
-    return seen
+        walks = walks.unionByName(frontier)
+    # unrolled, a level is all walks of its length, one to a node: the shortest is the node's path, and the
+    # plan has one join and one aggregate a hop
+    return walks.groupBy("id").agg(F.min(F.struct("hops", "path")).alias("x")).select("id", "x.hops", "x.path")
 
 
 def file_moves(file_edges: DataFrame, edge_types: list[str] | None, direction: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import tokens as T
 from ..operators import context, cycles, dead, delta, lookup, mutate, propagate, reports, resolve, stats, traverse, versioning
 from ..session import shared_dir, shared_table
 from ..streaming import changes, keystrokes, windows
-from . import samples
+from . import generated, samples
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -937,16 +937,22 @@ def _sources(spark, files: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(files.items()), "file_path string, content string")
 
 
-@query()
+def _facts(entities: DataFrame) -> DataFrame:
+    listed = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    imports = F.array_join(F.transform("imports", lambda i: F.concat(i["module"], F.lit(":"), i["name"])), ",").alias("imports")
+    return entities.select("file_path", "entity_type", "name", "line_start", "line_end", listed("calls"), listed("inherits"), imports, listed("type_refs"), listed("decorators"))
+
+
+@query(generated.PYTHON_SQL)
 def extract_python(spark, sf):
-    f = _sources(spark, {k: v for k, v in samples.FILES.items() if k.endswith(".py")})
-    return extract.extract_entities(f).select("file_path", "ord", "entity_type", "name", "line_start", "line_end", F.array_join("calls", ",").alias("calls"), F.array_join("inherits", ",").alias("inherits"))
+    """A Python file for each part; the facts are worked out by hand."""
+    return _facts(extract.extract_entities(generated.files(spark, sf, generated.PYTHON)))
 
 
-@query()
+@query(generated.LANGUAGES_SQL)
 def extract_regex_family(spark, sf):
-    f = _sources(spark, {k: v for k, v in samples.FILES.items() if not k.endswith(".py")})
-    return extract.extract_entities(f).select("file_path", "ord", "entity_type", "name", "line_start", "line_end", F.array_join("calls", ",").alias("calls"), F.array_join("inherits", ",").alias("inherits"))
+    """A file in each of the other six languages for each part."""
+    return _facts(extract.extract_entities(generated.language_files(spark, sf)))
 
 
 @query()
@@ -954,17 +960,17 @@ def partial_parse(spark, sf):
     return extract.parse_regions(_sources(spark, samples.BROKEN)).withColumn("names", F.array_join("names", ","))
 
 
-@query()
+@query(generated.SCOPES_SQL)
 def semantic_paths(spark, sf):
-    f = _sources(spark, {k: v for k, v in samples.FILES.items() if k.endswith(".py")})
-    return extract.semantic_paths(f).withColumn("scope_chain", F.array_join("scope_chain", "."))
+    out = extract.semantic_paths(generated.files(spark, sf, generated.PYTHON))
+    return out.select("file_path", "entity_type", F.array_join("scope_chain", ".").alias("scope_chain"), "name", "line_start", "line_end")
 
 
-@query()
+@query(generated.EDGES_SQL)
 def project_graph(spark, sf):
-    """The sample project from sources to edges: extraction, then resolution."""
-    f = _sources(spark, samples.FILES).withColumn("seq", F.lit(0).cast("bigint"))
-    n = changes.nodes_of(changes.entities_of(f.select("file_path", "seq", "content")))
+    """A project of a module for each part, from sources to edges: extraction, then the resolution cascade."""
+    f = generated.files(spark, sf, generated.MODULE).withColumn("seq", F.lit(0).cast("bigint"))
+    n = shared_table(changes.nodes_of(changes.entities_of(f.select("file_path", "seq", "content"))), "nodes")
     e = changes.edges_of(n)
     s, t = n.select(F.col("id").alias("source_id"), F.col("name").alias("source")), n.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file_path").alias("target_file"))
     return e.join(s, "source_id").join(t, "target_id").select("source", "edge_type", "target", "target_file", "confidence")

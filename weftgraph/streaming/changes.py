@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..extract import extract_entities
+from ..functions import vocab
 from ..functions.names import node_id
-from ..operators import delta, resolve
+from ..operators import delta, lookup, resolve
 from ..operators.mutate import Graph
+from ..session import shared_table
 
 ENTITY = "file_path string, seq bigint, name string, type string, sig string, struct string, line_start int, line_end int, ord bigint, calls array<string>, inherits array<string>, imports array<struct<module:string,name:string>>, type_refs array<string>, decorators array<string>, uses array<string>"
 NODES = "id string, type string, name string, file_path string, line_start bigint, ord bigint, calls array<string>, inherits array<string>, imports array<struct<module:string,name:string>>, type_refs array<string>, decorators array<string>, uses array<string>"
@@ -37,34 +39,60 @@ def nodes_of(entities: DataFrame) -> DataFrame:
     return last.select("id", "n.*")
 
 
+def import_edges(nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """(source_id, target_id, confidence): what import nodes lead to.
+
+    A name of a module goes to its definition there, or along the imports by which that module has it
+    (five at most): high. ``*`` goes to all that the module exports: medium. A name whose module is
+    unknown goes to the first definition of the name in another file: medium.
+    """
+    imports = nodes.where("type = 'import'").select(F.col("id").alias("source_id"), "file_path", F.explode("imports").alias("i")).select("source_id", "file_path", F.col("i.module").alias("suffix"), F.col("i.name").alias("wanted"))
+    at = imports.join(index.withColumnRenamed("file_path", "target_file"), "suffix")
+    defined = nodes.where("type <> 'import'").select(F.col("id").alias("target_id"), F.col("name").alias("wanted"), F.col("file_path").alias("target_file"))
+    direct = at.join(defined, ["target_file", "wanted"]).select("source_id", "target_id")
+    named = nodes.where("type = 'import'").select(F.col("id").alias("to"), F.col("name").alias("wanted"), F.col("file_path").alias("target_file"))
+    on = at.join(named, ["target_file", "wanted"]).where("source_id <> to").join(direct.select("source_id"), "source_id", "left_anti").select(F.col("source_id").alias("at"), "to", F.lit(False).alias("defines"))
+    steps = direct.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.lit(True).alias("defines")).unionByName(on)
+    chained = resolve.reexport_chain(steps).select(F.col("start").alias("source_id"), F.col("definition").alias("target_id"))
+    found = direct.unionByName(chained).distinct().withColumn("confidence", F.lit("high"))
+    exported = lookup.exports(nodes).select(F.col("file_path").alias("target_file"), F.col("name").alias("wanted"))
+    star = at.where("wanted = '*'").drop("wanted").join(exported, "target_file").join(defined, ["target_file", "wanted"]).select("source_id", "target_id", F.lit("medium").alias("confidence"))
+    lost = imports.where("wanted <> '*'").join(found.select("source_id"), "source_id", "left_anti")
+    # the first two files that define a name, a row a name: one of them is another file
+    by_file = defined.groupBy("wanted", "target_file").agg(F.min("target_id").alias("target_id"))
+    first = by_file.groupBy("wanted").agg(F.min(F.struct("target_file", "target_id")).alias("x"))
+    second = by_file.join(first, "wanted").where("target_file <> x.target_file").groupBy("wanted").agg(F.min(F.struct("target_file", "target_id")).alias("y"))
+    guess = lost.join(first, "wanted").join(second, "wanted", "left")
+    guess = guess.withColumn("t", F.when(F.col("x.target_file") != F.col("file_path"), F.col("x.target_id")).otherwise(F.col("y.target_id"))).where("t IS NOT NULL").groupBy("source_id").agg(F.min("t").alias("target_id")).withColumn("confidence", F.lit("medium"))
+    return found.unionByName(star).unionByName(guess).dropDuplicates(["source_id", "target_id"])
+
+
 def edges_of(nodes: DataFrame) -> DataFrame:
     """Edges by resolving what nodes refer to, against all nodes at once.
 
-    Imports are resolved first, by module and by name; the files they lead to then rank the targets of
-    calls, bases, types and decorators.
+    Imports first; then bases, so that methods are found in ancestors; then calls, types and
+    decorators. Calls and decorators try functions, then classes.
     """
-    files = nodes.groupBy("file_path").agg(F.min("ord").alias("ord"))
-    index = resolve.module_index(files)
-    imports = nodes.where("type = 'import'").select(F.col("id").alias("source_id"), "file_path", F.explode("imports").alias("i")).select("source_id", "file_path", F.col("i.module").alias("suffix"), F.col("i.name").alias("wanted"))
-    target = nodes.where("type <> 'import'").select(F.col("id").alias("target_id"), F.col("name").alias("wanted"), F.col("file_path").alias("target_file"))
-    by_module = imports.join(index.withColumnRenamed("file_path", "target_file"), "suffix").join(target, ["target_file", "wanted"])
-    by_name = imports.join(by_module.select("source_id"), "source_id", "left_anti").join(target, "wanted").where("target_file <> file_path")
-    found = by_module.select("source_id", "target_id", "file_path", "target_file", F.lit("high").alias("confidence"))
-    guessed = by_name.groupBy("source_id", "file_path").agg(F.min(F.struct("target_file", "target_id")).alias("x")).select("source_id", "x.target_id", "file_path", "x.target_file", F.lit("medium").alias("confidence"))
-    imp = found.unionByName(guessed).dropDuplicates(["source_id", "target_id"])
-    imported = imp.select("file_path", F.col("target_file").alias("imported")).distinct()
-
-    kinds = {"calls": ("calls", ("function", "class")), "inherits": ("inherits", ("class",)), "type_refs": ("uses_type", ("class",)), "decorators": ("decorated_by", ("function", "class"))}
-    refs = None
-    for column, (edge, wanted) in kinds.items():
-        r = nodes.select(F.col("id").alias("source_id"), "file_path", F.explode(F.array_distinct(column)).alias("name"), F.lit(edge).alias("edge_type"))
-        r = r.select("*", F.explode(F.array(*map(F.lit, wanted))).alias("kind"))
-        refs = r if refs is None else refs.unionByName(r)
-    refs = refs.withColumn("ref_id", F.sha2(F.concat_ws("|", "source_id", "edge_type", "name", "kind"), 256))
-    hit = resolve.resolve_targets(refs, nodes.where("type <> 'import'"), imported).where("target_id IS NOT NULL AND target_id <> source_id")
-    # a function is preferred to a class of the same name
-    best = hit.groupBy("source_id", "edge_type", "name").agg(F.min(F.struct(F.when(F.col("kind") == "function", 0).otherwise(1), "target_id", "confidence")).alias("x"))
-    out = best.select("source_id", "x.target_id", "edge_type", "x.confidence").unionByName(imp.select("source_id", "target_id", F.lit("imports").alias("edge_type"), "confidence"))
+    # what many ranks read is written once, so that no plan holds it many times over
+    index = shared_table(resolve.module_index(nodes.groupBy("file_path").agg(F.min("ord").alias("ord"))), "modules")
+    imp = shared_table(import_edges(nodes, index), "imports")
+    imported = shared_table(resolve.imported_files(nodes, imp.withColumn("edge_type", F.lit("imports"))), "imported")
+    stop = sorted(vocab.builtin_names())
+
+    def resolved(columns: dict[str, tuple[str, tuple[str, ...]]], inherits: DataFrame | None) -> DataFrame:
+        refs = None
+        for column, (edge, wanted) in columns.items():
+            r = nodes.select(F.col("id").alias("source_id"), "file_path", F.explode(F.array_distinct(column)).alias("name"), F.lit(edge).alias("edge_type"))
+            r = r.select("*", F.explode(F.array(*map(F.lit, wanted))).alias("kind"))
+            refs = r if refs is None else refs.unionByName(r)
+        refs = shared_table(refs, "references")
+        hit = resolve.resolve_cascade(refs, nodes, imp.select("source_id", "target_id"), inherits, index, imported, stop).where("target_id IS NOT NULL")
+        best = hit.groupBy("source_id", "edge_type", "name").agg(F.min(F.struct(F.when(F.col("kind") == "function", 0).otherwise(1), "target_id", "confidence")).alias("x"))
+        return best.select("source_id", "x.target_id", "edge_type", "x.confidence").where("target_id <> source_id")
+
+    bases = shared_table(resolved({"inherits": ("inherits", ("class",))}, None), "bases")
+    rest = resolved({"calls": ("calls", ("function", "class")), "type_refs": ("uses_type", ("class",)), "decorators": ("decorated_by", ("function", "class"))}, bases.select("source_id", "target_id"))
+    out = bases.unionByName(rest).unionByName(imp.select("source_id", "target_id", F.lit("imports").alias("edge_type"), "confidence"))
     return out.dropDuplicates(["source_id", "target_id", "edge_type"])
 
 
