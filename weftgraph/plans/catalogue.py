@@ -314,13 +314,17 @@ def call_graph(spark, sf):
 
 
 @query(
-    """WITH i AS (SELECT source_id AS a, target_id AS b FROM edges WHERE edge_type = 'inherits'), walk AS (SELECT a AS id, a AS root FROM i UNION SELECT b, b FROM i
-UNION SELECT w.id, least(w.root, i.b) FROM walk w JOIN i ON i.a = w.root UNION SELECT w.id, least(w.root, i.a) FROM walk w JOIN i ON i.b = w.root)
-SELECT id, min(root) AS root FROM (SELECT x.id, min(y.id) AS root FROM (SELECT a AS id, b AS c FROM i UNION SELECT b, b FROM i) x JOIN (SELECT a AS id, b AS c FROM i UNION SELECT b, b FROM i) y ON x.c = y.c GROUP BY x.id) GROUP BY id""",
+    """WITH i AS (SELECT source_id AS a, target_id AS b FROM edges WHERE edge_type = 'inherits' UNION SELECT 's' || s_suppkey, 's' || (s_suppkey + 5) FROM supplier WHERE s_suppkey % 41 <> 0),
+both_ways AS (SELECT a, b FROM i UNION SELECT b, a FROM i), walk AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT w.id, x.b FROM walk w JOIN both_ways x ON x.a = w.other)
+SELECT id, min(other) AS root FROM walk GROUP BY id""",
     G,
 )
 def connected_components(spark, sf):
-    return traverse.components(V.edges(spark, sf, "inherits"))
+    """Of stars of classes and of chains of suppliers, each five keys on, with gaps."""
+    k = F.col("s_suppkey")
+    name = lambda x: F.concat(F.lit("s"), x.cast("string"))
+    chains = V.table(spark, sf, "supplier").where(k % 41 != 0).select(name(k).alias("source_id"), name(k + 5).alias("target_id"))
+    return traverse.components(V.edges(spark, sf, "inherits").select("source_id", "target_id").unionByName(chains).withColumn("edge_type", F.lit("x")))
 
 
 # --- dead code and cycles ------------------------------------------------------------------------
@@ -857,10 +861,24 @@ def entity_at_line(spark, sf):
 SELECT file_path, name, type, line_start, (SELECT count(*) FROM x WHERE tid = id) AS n_cross_callers, (SELECT count(*) FROM x WHERE sid = id) AS n_cross_callees FROM nodes""",
     G,
 )
-def file_context(spark, sf):
+def cross_counts(spark, sf):
     return context.cross_counts(*_graph(spark, sf))
 
 
+@query(
+    """WITH near AS (SELECT source_id AS id, coalesce(t.name, target_id) || '|' || coalesce(t.file_path, '') || '|' || edge_type AS item, 'out' AS side FROM edges LEFT JOIN nodes t ON t.id = target_id
+UNION ALL SELECT target_id, coalesce(s.name, source_id) || '|' || coalesce(s.file_path, '') || '|' || edge_type, 'in' FROM edges LEFT JOIN nodes s ON s.id = source_id),
+lists AS (SELECT id, string_agg(item, ';' ORDER BY item) FILTER (side = 'out') AS calls_out, string_agg(item, ';' ORDER BY item) FILTER (side = 'in') AS called_by FROM near GROUP BY id)
+SELECT file_path, name AS entity, type, line_start, coalesce(calls_out, '') AS calls_out, coalesce(called_by, '') AS called_by FROM nodes LEFT JOIN lists USING (id)""",
+    G,
+)
+def file_context(spark, sf):
+    """The nested lists, written out in the order of their texts."""
+    listed = lambda c: F.coalesce(F.array_join(F.array_sort(F.transform(c, lambda x: F.concat_ws("|", x["name"], x["file_path"], x["edge_type"]))), ";"), F.lit("")).alias(c)
+    c = context.file_context(*_graph(spark, sf))
+    return c.select("file_path", "entity", "type", "line_start", listed("calls_out"), listed("called_by"))
+
+
 @query(
     """WITH x AS (SELECT target_id AS id, count(*) AS n FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path GROUP BY 1),
 r AS (SELECT file_path, name, type, line_start, coalesce(n, 0) AS n_cross_callers, row_number() OVER (PARTITION BY file_path ORDER BY CASE type WHEN 'class' THEN 0 ELSE 1 END, coalesce(n, 0) DESC, line_start, name) AS place FROM nodes LEFT JOIN x USING (id))
