@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,9 +38,15 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where there is none."""
+    """The folder of ``spark.checkpoint.dir``; a local one is set only where there is none, on one machine.
+
+    What is written there is not removed: tables may be read for as long as a result is. Each
+    application has a folder of its own below it, which can go when the application has ended.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("weftgraph.scratch", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("weftgraph.scratch", at)
     return at.rstrip("/")
