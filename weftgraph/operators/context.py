@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .lookup import ranked_in
 from .stats import cross_edges
 
 
@@ -46,6 +47,28 @@ def key_entities(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return cross_counts(nodes, edges).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("n_cross_callees")
 
 
+def caller_ranking(nodes: DataFrame, edges: DataFrame, top: int = 3, cross: int = 3, same: int = 2) -> DataFrame:
+    """(file_path, place, name, n_cross, n_same, shown): the entities of each file that most other files' nodes refer to.
+
+    ``shown`` names the first callers from other files (``file:name``), how many more there are, and
+    the first from the same file; by file, name, edge type and id. Counts are aggregates; callers are
+    listed for the chosen entities alone, and only the first few are gathered.
+    """
+    s = nodes.select(F.col("id").alias("source_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"))
+    t = nodes.select(F.col("id").alias("target_id"), "name", "file_path", "line_start")
+    own = ["target_id", "file_path", "name", "line_start"]
+    calls = edges.select("source_id", "target_id", "edge_type").join(s, "source_id").join(t, "target_id").withColumn("other", F.col("caller_file") != F.col("file_path"))
+    sums = calls.groupBy(*own).agg(F.count_if("other").alias("n_cross"), F.count_if(~F.col("other")).alias("n_same"))
+    best = ranked_in(sums, ["file_path"], [F.desc("n_cross"), F.col("line_start"), F.col("name"), F.col("target_id")], top, "place")
+    near = calls.join(best.select("target_id"), "target_id", "left_semi")
+    near = ranked_in(near, ["target_id", "other"], [F.col("caller_file"), F.col("caller"), F.col("edge_type"), F.col("source_id")], max(cross, same), "k")
+    label = F.when(F.col("other"), F.concat(N.base_name(F.col("caller_file")), F.lit(":"), F.col("caller"))).otherwise(F.concat("caller", F.lit(" (same file)")))
+    kept = near.where(F.col("k") <= F.when(F.col("other"), cross).otherwise(same)).groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct((~F.col("other")).alias("own"), "k", label.alias("label")))).alias("x"))
+    part = lambda own_file: F.transform(F.filter("x", lambda i: i["own"] == F.lit(own_file)), lambda i: i["label"])
+    more = F.when(F.col("n_cross") > cross, F.array(F.concat(F.lit("+"), (F.col("n_cross") - cross).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return best.join(kept, "target_id").select("file_path", F.col("place").cast("bigint").alias("place"), "name", "n_cross", "n_same", F.array_join(F.concat(part(False), more, part(True)), ", ").alias("shown"))
+
+
 def within_budget(parts: Column, budget: int) -> Column:
     """Of an array of strings those that fit ``budget`` characters in turn; one too long is skipped, not the end."""
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
@@ -100,7 +123,7 @@ def format_node(kind: Column, name: Column, path: Column, line: Column) -> Colum
 
 
 def rich_context(nodes: DataFrame, edges: DataFrame, path: str, budget: int = 2000) -> str:
-    """A file's context as text of at most ``budget`` characters: header, key entities, callees, files it affects.
+    """A file's context as text of at most ``budget`` characters: header, key entities, callers, callees, files it affects.
 
     Each list is cut to a few rows before it reaches the driver; a part that does not fit is left out whole.
     """
@@ -123,6 +146,8 @@ def rich_context(nodes: DataFrame, edges: DataFrame, path: str, budget: int = 20
 
     keys = [r for r in key_entities(own, edges.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")).orderBy("place").collect()]
     add([f"{r['type']} {r['name']} :{r['line_start']}" for r in keys], (budget - len(parts[0])) // 5)
+    into = edges.join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    add([f"{r['name']} <- {r['shown']}" for r in caller_ranking(nodes, into).orderBy("place").collect()], budget * 2 // 5)
     f = file_edges(nodes, edges)
     deps = [r["target_file"] for r in f.where(F.col("source_file") == at).select("target_file").distinct().orderBy("target_file").limit(6).collect()]
     if deps:

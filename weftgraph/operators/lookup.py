@@ -142,3 +142,47 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def ranked_in(df: DataFrame, part: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col(out) <= k)
+
+
+def entity_at_line(spans: DataFrame, lines: DataFrame, by: str) -> DataFrame:
+    """(by, line, entity): of ``spans`` (by, entity, first, last, depth) the deepest that holds each of ``lines`` (by, line).
+
+    Ties go to the smallest entity. One equi-join by file; a line that no span holds has no row.
+    """
+    at = lines.join(spans, by).where("line BETWEEN first AND last")
+    best = F.min(F.struct((-F.col("depth")).alias("d"), "entity")).alias("x")
+    return at.groupBy(by, "line").agg(best).select(by, "line", F.col("x.entity").alias("entity"))
+
+
+def scope_lookup(scopes: DataFrame, defined: DataFrame, by: str) -> DataFrame:
+    """(by, owner, level): of ``scopes`` (by, chain, name) the definition of the name in the innermost scope that has one.
+
+    ``chain`` are the scope's parts, outermost first; ``defined`` has (scope, name, owner), the scope
+    joined by ``::``. Level 0 is the outermost, empty scope.
+    """
+    levels = F.transform(F.sequence(F.lit(0), F.size("chain")), lambda i: F.array_join(F.slice("chain", F.lit(1), i), "::"))
+    looks = scopes.select(by, "name", F.posexplode(levels).alias("level", "scope"))
+    return looks.join(defined, ["scope", "name"]).groupBy(by).agg(F.max_by("owner", "level").alias("owner"), F.max("level").cast("bigint").alias("level"))
+
+
+def prompt_mentions(prompts: DataFrame, nodes: DataFrame, by: str, most: int = 5) -> DataFrame:
+    """(by, place, token, kind, found): what the words of a prompt (by, text) name, ``most`` at most.
+
+    A word of two characters or more is an entity's name (found: its first node's ``file:line``), or
+    else a part of a file's path (found: the first such file). Entities come first, then by word.
+    Parts of paths are an equi-join: each path gives its substrings, and each substring keeps its
+    first file before the join.
+    """
+    words = prompts.select(by, F.explode(F.split("text", r"[\s,;:?!`'\"()\[\]{}]+")).alias("token")).select(by, F.btrim("token", F.lit("./")).alias("token"))
+    words = words.where(F.length("token") >= 2).distinct()
+    tokens = words.select("token").distinct()
+    first = nodes.groupBy(F.col("name").alias("token")).agg(F.min(F.struct("file_path", "line_start")).alias("x"))
+    named = tokens.join(first, "token").select("token", F.lit("entity").alias("kind"), F.concat_ws(":", "x.file_path", F.col("x.line_start").cast("string")).alias("found"))
+    n = F.length("file_path")
+    starts = F.explode(F.sequence(F.lit(1), n - 1)).alias("a")
+    parts = nodes.select("file_path").where(n >= 2).distinct().select("file_path", starts).select("file_path", "a", F.explode(F.sequence(F.lit(2), n - F.col("a") + 1)).alias("size"))
+    parts = parts.groupBy(F.substring("file_path", F.col("a"), F.col("size")).alias("token")).agg(F.min("file_path").alias("found"))
+    files = tokens.join(named, "token", "left_anti").join(parts, "token").select("token", F.lit("file").alias("kind"), "found")
+    hits = words.join(named.unionByName(files), "token")
+    out = ranked_in(hits, [by], [F.col("kind"), F.col("token")], most, "place")
+    return out.select(by, F.col("place").cast("bigint").alias("place"), "token", "kind", "found")

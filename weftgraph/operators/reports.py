@@ -36,3 +36,43 @@ def naive_affected(files: DataFrame, changed: str) -> DataFrame:
     """Files whose content holds the base name of the changed one."""
     base = changed.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return files.where(F.col("content").contains(base) & (F.col("file_path") != changed)).select("file_path")
+
+
+# Ends of names that are taken for paths; how far before and after its first word a camel-case name may be spread.
+PATH_ENDS = (".py", ".ts", ".js", ".rs")
+NEAR_BEFORE, NEAR_AFTER = 20, 100
+
+
+def mentioned(mention: Column, response: Column) -> Column:
+    """Whether a response names something, at the borders of words or paths and without regard to case.
+
+    A mention that ends in ``_`` must start a word; one with a slash or a path's end must follow a
+    space, a quote or a slash; others must stand as a word, or, in camel case, have all their words
+    near an occurrence of the first. Null on either side: false.
+    """
+    m, r = F.lower(mention), F.lower(response)
+    literal = F.concat(F.lit("\\Q"), m, F.lit("\\E"))
+    path = m.contains("/")
+    for end in PATH_ENDS:
+        path = path | F.endswith(m, F.lit(end))
+    words = F.transform(camel_words(mention), lambda w: F.lower(w))
+    first = F.element_at(words, 1)
+    lone = F.coalesce(F.length(r), F.lit(0)) - F.length(first) + 1
+
+    def near(at: Column) -> Column:
+        start = F.greatest(at - NEAR_BEFORE, F.lit(1))
+        window = F.substring(r, start, at + NEAR_AFTER - start)
+        return (F.substring(r, at, F.length(first)) == first) & F.forall(words, lambda w: F.contains(window, w))
+
+    camel = F.when(F.regexp_like(mention, F.lit("^([A-Z][a-z]+){2,}$")) & F.contains(r, first) & (lone >= 1), F.exists(F.sequence(F.lit(1), lone), near)).otherwise(False)
+    plain = F.regexp_like(r, F.concat(F.lit("(^|[^a-z0-9_])"), literal, F.lit("([^a-z0-9_]|$)")))
+    found = F.when(F.endswith(m, F.lit("_")), F.regexp_like(r, F.concat(F.lit("(^|[\\s,;:({/])"), literal))).when(path, F.regexp_like(r, F.concat(F.lit("(^|[\\s`\"'/])"), literal))).otherwise(plain | camel)
+    return F.coalesce(found, F.lit(False))
+
+
+def accuracy(runs: DataFrame, by: str) -> DataFrame:
+    """(by, n_expected, n_found, accuracy) of ``runs`` (by, expected array, response); nothing expected: 1."""
+    e = F.coalesce("expected", F.array().cast("array<string>"))
+    hits = F.size(F.filter(e, lambda m: mentioned(m, F.col("response"))))
+    r = runs.select(by, F.size(e).cast("bigint").alias("n_expected"), hits.cast("bigint").alias("n_found"))
+    return r.withColumn("accuracy", F.when(F.col("n_expected") > 0, F.round(F.col("n_found") / F.col("n_expected"), 6)).otherwise(1.0))

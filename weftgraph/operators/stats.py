@@ -75,3 +75,24 @@ def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # 15 hex digits fit a signed 64-bit number; sums are kept as decimals
     lanes = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
     return h.agg(F.left(F.sha2(F.concat_ws("|", *lanes, F.count("*").cast("string")), 256), F.lit(16)).alias("graph_hash"), F.count("*").alias("n_parts"))
+
+
+def dependency_index(calls: DataFrame) -> DataFrame:
+    """(name, n_files): in how many files each name of ``calls`` (file_path, name) is called."""
+    return calls.groupBy("name").agg(F.countDistinct("file_path").alias("n_files"))
+
+
+def unresolved_calls(calls: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(name, n): called names (name, a row a call) that match no resolved name (name).
+
+    Names match if they are equal or one ends with the other after a dot. Both ways are equi-joins:
+    a name is looked up among the dotted ends of the resolved ones, and its own ends among these.
+    """
+    parts = F.split("name", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    n = calls.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+    known = resolved.where("name IS NOT NULL").select("name").distinct()
+    inside = known.select(F.explode(ends).alias("name")).distinct()
+    left = n.join(inside, "name", "left_anti")
+    longer = left.select("name", F.explode(ends).alias("end")).join(known.select(F.col("name").alias("end")), "end", "left_semi").select("name").distinct()
+    return left.join(longer, "name", "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import extract, router
 from ..functions import names as N
 from ..functions import tokens as T
-from ..operators import context, cycles, dead, delta, lookup, mutate, propagate, reports, resolve, stats, traverse, versioning
+from ..operators import alerts, context, cycles, dead, delta, lookup, mutate, propagate, reports, resolve, stats, traverse, versioning
 from ..session import shared_dir, shared_table
 from ..streaming import changes, keystrokes, windows
 from . import generated, samples
@@ -529,7 +529,7 @@ def module_collisions(spark, sf):
 
 @query("SELECT target AS name, count(DISTINCT file_path) AS n_files FROM links GROUP BY 1", IM)
 def dependency_index(spark, sf):
-    return V.links(spark, sf).groupBy(F.col("target").alias("name")).agg(F.countDistinct("file_path").alias("n_files"))
+    return stats.dependency_index(V.links(spark, sf).withColumnRenamed("target", "name"))
 
 
 @query(
@@ -601,6 +601,20 @@ def unresolved_top(spark, sf):
     return lookup.top_k(r.groupBy("name").agg(F.count("*").alias("n")), 20, F.desc("n"), F.col("name"))
 
 
+@query(
+    """WITH cl AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'x.N' || (o_orderkey % 30) || '.s' || (o_orderkey % 150) WHEN 1 THEN 's' || (o_orderkey % 150) ELSE 'y.q' || (o_orderkey % 40) END AS name FROM orders),
+known AS (SELECT DISTINCT t.name FROM edges JOIN nodes t ON t.id = target_id WHERE edge_type = 'calls' AND confidence = 'high')
+SELECT name, count(*) AS n FROM cl WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.name = cl.name OR ends_with(known.name, '.' || cl.name) OR ends_with(cl.name, '.' || known.name)) GROUP BY 1""",
+    G,
+)
+def unresolved_calls(spark, sf):
+    k = F.col("o_orderkey")
+    s = lambda m: (k % m).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("x.N"), s(30), F.lit(".s"), s(150))).when(k % 3 == 1, F.concat(F.lit("s"), s(150))).otherwise(F.concat(F.lit("y.q"), s(40)))
+    high = V.edges(spark, sf, "calls").where("confidence = 'high'").select(F.col("target_id").alias("id")).distinct()
+    return stats.unresolved_calls(V.table(spark, sf, "orders").select(name.alias("name")), V.nodes(spark, sf).join(high, "id", "left_semi"))
+
+
 @query(
     """SELECT o_orderkey AS ref_id, left(sha256('src/R' || n_regionkey || '/base.py:function:R' || n_regionkey || '.s' || s_suppkey), 16) AS target_id, CAST(1 AS BIGINT) AS depth
 FROM orders JOIN cust ON o_custkey = c_custkey JOIN nation ON n_nationkey = cn JOIN (SELECT s_suppkey, n_regionkey AS sr FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON s_suppkey = o_orderkey % 150 AND sr = n_regionkey""",
@@ -779,6 +793,41 @@ def accuracy_score(spark, sf):
     return i.groupBy("item_id").agg(F.round(F.count_if("hit") / F.count("*"), 6).alias("accuracy"), F.count("*").alias("n_expected"))
 
 
+_SAID = """WITH said AS (SELECT conv_id, turn, text, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM conversations),
+m AS (SELECT conv_id, turn, coalesce(text, '') AS text, unnest([w[1], substr(w[2], 2), w[3] || '_', w[4] || '.py', upper(left(w[5], 1)) || lower(substr(w[5], 2)) || upper(left(w[6], 1)) || lower(substr(w[6], 2)), 'Ab' || 'Zz']) AS mention FROM said WHERE len(w) > 6),
+p AS (SELECT *, lower(mention) AS lm, lower(text) AS lt, list_transform(regexp_extract_all(mention, '[A-Z][a-z]+'), lambda x: lower(x)) AS words FROM m),
+f AS (SELECT conv_id, turn, CASE WHEN ends_with(lm, '_') THEN regexp_matches(lt, '(^|[\\s,;:({/])\\Q' || lm || '\\E') WHEN contains(lm, '/') OR ends_with(lm, '.py') OR ends_with(lm, '.ts') OR ends_with(lm, '.js') OR ends_with(lm, '.rs') THEN regexp_matches(lt, '(^|[\\s`"''/])\\Q' || lm || '\\E')
+  ELSE regexp_matches(lt, '(^|[^a-z0-9_])\\Q' || lm || '\\E([^a-z0-9_]|$)') OR (regexp_matches(mention, '^([A-Z][a-z]+){2,}$') AND len(list_filter(generate_series(1, length(lt) - length(words[1]) + 1), lambda pos: substr(lt, pos, length(words[1])) = words[1] AND len(list_filter(words, lambda x: contains(substr(lt, greatest(pos - 20, 1), pos + 100 - greatest(pos - 20, 1)), x))) = len(words))) > 0) END AS found FROM p)
+SELECT conv_id, turn, count(*) AS n_expected, count(*) FILTER (found) AS n_found, round(count(*) FILTER (found) / count(*), 6) AS accuracy FROM f GROUP BY 1, 2"""
+
+
+@query(_SAID)
+def accuracy_mentions(spark, sf):
+    """Words of a turn as mentions: whole, without their first letter, as prefixes, as paths and in camel case."""
+    c = V.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("response"))
+    c = c.withColumn("w", F.filter(F.split("response", " "), lambda x: x != "")).where(F.size("w") > 6)
+    w = lambda k: F.element_at("w", k)
+    cap = lambda k: F.concat(F.upper(F.substring(w(k), 1, 1)), F.lower(F.substring(w(k), F.lit(2), F.length(w(k)))))
+    expected = F.array(w(1), F.substring(w(2), F.lit(2), F.length(w(2))), F.concat(w(3), F.lit("_")), F.concat(w(4), F.lit(".py")), F.concat(cap(5), cap(6)), F.lit("AbZz"))
+    return reports.accuracy(c.select(F.struct("conv_id", "turn").alias("run"), expected.alias("expected"), "response"), "run").select("run.conv_id", "run.turn", "n_expected", "n_found", "accuracy")
+
+
+_PROMPTS = """WITH q AS (SELECT c_custkey AS k, 'why does ' || cname || ' (see n' || (c_custkey % 30) || '.py) need p' || c_custkey || ', Brand and ./lib/?' AS text FROM cust JOIN customer USING (c_custkey)),
+tk AS (SELECT DISTINCT k, trim(unnest(string_split_regex(text, '[\\s,;:?!`''"()\\[\\]{}]+')), './') AS token FROM q),
+ent AS (SELECT name AS token, arg_min(file_path || ':' || line_start, file_path || lpad(CAST(line_start AS VARCHAR), 20, '0')) AS found FROM nodes GROUP BY 1),
+hit AS (SELECT k, token, 'entity' AS kind, found FROM tk JOIN ent USING (token) WHERE length(token) >= 2
+  UNION ALL SELECT k, token, 'file', min(file_path) FROM tk JOIN (SELECT DISTINCT file_path FROM nodes) ON contains(file_path, token) WHERE length(token) >= 2 AND token NOT IN (SELECT token FROM ent) GROUP BY 1, 2)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY kind, token) AS place, token, kind, found FROM hit QUALIFY place <= 5"""
+
+
+@query(_PROMPTS, G)
+def prompt_mentions(spark, sf):
+    c, _ = V._members(spark, sf)
+    key = F.col("c_custkey")
+    text = F.concat(F.lit("why does "), "name", F.lit(" (see n"), (key % 30).cast("string"), F.lit(".py) need p"), key.cast("string"), F.lit(", Brand and ./lib/?"))
+    return lookup.prompt_mentions(c.select(key.alias("k"), text.alias("text")), V.nodes(spark, sf), "k")
+
+
 @query("SELECT o_orderpriority AS test_id, o_orderstatus AS mode, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std FROM orders GROUP BY 1, 2")
 def run_stats(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("test_id"), F.col("o_orderstatus").alias("mode"), "o_totalprice")
@@ -838,8 +887,7 @@ SELECT k, arg_max(owner, lv) AS owner, max(lv) AS level FROM look JOIN def ON sc
 def scope_lookup(spark, sf):
     s = _scopes(spark, sf)
     defined = s.groupBy(F.array_join(F.expr("slice(chain, 1, CAST(k % 3 + 1 AS INT))"), "::").alias("scope"), F.concat(F.lit("v"), (F.col("k") % 10).cast("string")).alias("name")).agg(F.min("k").alias("owner"))
-    looks = s.select("k", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("chain")), lambda i: F.array_join(F.slice("chain", F.lit(1), i), "::"))).alias("level", "scope"), F.concat(F.lit("v"), (F.col("k") % 7).cast("string")).alias("name"))
-    return looks.join(defined, ["scope", "name"]).groupBy("k").agg(F.max_by("owner", "level").alias("owner"), F.max("level").cast("bigint").alias("level"))
+    return lookup.scope_lookup(s.withColumn("name", F.concat(F.lit("v"), (F.col("k") % 7).cast("string"))), defined, "k")
 
 
 @query(
@@ -848,14 +896,59 @@ SELECT f, line, arg_max(o_orderkey, depth * 10000000000 - o_orderkey) AS entity
 )
 def entity_at_line(spark, sf):
     k = F.col("o_orderkey")
-    s = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("f"), "o_orderkey", (k % 50).alias("a"), (k % 50 + k % 40).alias("b"), (k % 6).alias("depth"))
-    at = s.select("*", F.explode(F.array(*map(F.lit, (5, 20, 45)))).alias("line")).where("line BETWEEN a AND b")
-    return at.groupBy("f", "line").agg(F.max_by("o_orderkey", F.struct("depth", -k)).alias("entity"))
+    s = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("f"), k.alias("entity"), (k % 50).alias("first"), (k % 50 + k % 40).alias("last"), (k % 6).alias("depth"))
+    lines = s.select("f").distinct().select("f", F.explode(F.array(*map(F.lit, (5, 20, 45)))).alias("line"))
+    return lookup.entity_at_line(s, lines, "f")
 
 
 # --- context -------------------------------------------------------------------------------------
 
 
+@query(
+    """WITH c AS (SELECT t.id AS tid, t.file_path, t.name, t.line_start, s.file_path AS cf, s.name AS caller, s.id AS sid, edge_type, s.file_path <> t.file_path AS other FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id),
+sums AS (SELECT tid, file_path, name, line_start, count(*) FILTER (other) AS n_cross, count(*) FILTER (NOT other) AS n_same FROM c GROUP BY 1, 2, 3, 4),
+best AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY n_cross DESC, line_start, name, tid) AS place FROM sums QUALIFY place <= 3),
+it AS (SELECT c.tid, other, row_number() OVER (PARTITION BY c.tid, other ORDER BY cf, caller, edge_type, sid) AS k, CASE WHEN other THEN string_split(cf, '/')[-1] || ':' || caller ELSE caller || ' (same file)' END AS label FROM c JOIN best USING (tid)),
+li AS (SELECT tid, string_agg(label, ', ' ORDER BY k) FILTER (other AND k <= 3) AS far, string_agg(label, ', ' ORDER BY k) FILTER (NOT other AND k <= 2) AS near FROM it GROUP BY 1)
+SELECT file_path, place, name, n_cross, n_same, concat_ws(', ', far, CASE WHEN n_cross > 3 THEN '+' || (n_cross - 3) || ' more' END, near) AS shown FROM best JOIN li USING (tid)""",
+    G,
+)
+def caller_ranking(spark, sf):
+    return context.caller_ranking(*_graph(spark, sf))
+
+
+@query(
+    """WITH gone AS (SELECT * FROM nodes WHERE type = 'function' AND file_path = 'src/R1/n1.py' AND name LIKE '%.s%'),
+fresh AS (SELECT left(sha256(file_path || ':function:fresh_helper'), 16) AS id, 'fresh_helper' AS name, file_path, id AS class_id, name AS class_name FROM nodes WHERE type = 'class' AND name LIKE 'R%'),
+an AS (SELECT id, name, file_path FROM nodes WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT id, name, file_path FROM fresh),
+ae AS (SELECT source_id, target_id FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) UNION ALL SELECT class_id, id FROM fresh WHERE class_name IN ('R0', 'R2', 'R4')
+  UNION ALL SELECT target_id, source_id FROM edges JOIN nodes ON id = source_id WHERE edge_type = 'inherits' AND name IN ('N0', 'N9')),
+pb AS (SELECT DISTINCT source_file AS a, target_file AS b FROM fe),
+pa AS (SELECT DISTINCT s.file_path AS a, t.file_path AS b FROM ae JOIN an s ON s.id = source_id JOIN an t ON t.id = target_id WHERE s.file_path <> t.file_path),
+rb AS (SELECT a, b FROM pb UNION SELECT rb.a, pb.b FROM rb JOIN pb ON rb.b = pb.a), ra AS (SELECT a, b FROM pa UNION SELECT ra.a, pa.b FROM ra JOIN pa ON ra.b = pa.a),
+lost AS (SELECT DISTINCT g.id, g.file_path, g.name AS subject, s.name AS caller FROM gone g JOIN edges ON target_id = g.id JOIN an s ON s.id = source_id)
+SELECT 'broken' AS kind, file_path, subject, array_to_string(list_sort(list(caller))[1:3], ', ') AS detail, count(*) AS n FROM lost GROUP BY id, file_path, subject
+UNION ALL SELECT 'unused', file_path, name, '', 0 FROM fresh WHERE id NOT IN (SELECT target_id FROM ae)
+UNION ALL SELECT 'cycle', a, a, '', 0 FROM ra WHERE a = b AND a NOT IN (SELECT a FROM rb WHERE a = b)""",
+    G,
+)
+def change_alerts(spark, sf):
+    """A change that drops the suppliers of one file, adds a helper to each region's and turns two bases around as well."""
+    n, e = V.nodes(spark, sf), _written(spark, sf)
+    gone = n.where("type = 'function' AND file_path = 'src/R1/n1.py' AND name LIKE '%.s%'").select("id")
+    base = n.where("type = 'class' AND name LIKE 'R%'")
+    fresh = base.select(N.node_id(F.col("file_path"), F.lit("function"), F.lit("fresh_helper")).alias("id"), F.lit("function").alias("type"), F.lit("fresh_helper").alias("name"), "file_path", F.lit(99).cast("bigint").alias("line_start"))
+    edge = lambda df, a, b: df.select(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit("calls").alias("edge_type"), F.lit("high").alias("confidence"))
+    used = base.where("name IN ('R0', 'R2', 'R4')").select("id", N.node_id(F.col("file_path"), F.lit("function"), F.lit("fresh_helper")).alias("helper"))
+    turned = e.where("edge_type = 'inherits'").join(n.where("name IN ('N0', 'N9')").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    kept = e
+    for end in ("source_id", "target_id"):
+        kept = kept.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    new = kept.select(*e.columns).unionByName(edge(used, "id", "helper")).unionByName(edge(turned, "target_id", "source_id"))
+    after = mutate.Graph(n.join(gone, "id", "left_anti").select(*n.columns).unionByName(fresh), shared_table(new, "graph"))
+    return alerts.change_alerts(mutate.Graph(n, e), after)
+
+
 @query(
     """WITH x AS (SELECT s.id AS sid, t.id AS tid FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE s.file_path <> t.file_path)
 SELECT file_path, name, type, line_start, (SELECT count(*) FROM x WHERE tid = id) AS n_cross_callers, (SELECT count(*) FROM x WHERE sid = id) AS n_cross_callees FROM nodes""",
