@@ -310,3 +310,33 @@ def test_naive_rebuild_baseline(spark, small):
     assert values(reports.naive_calls(small[0], refs), "source_id", "target_id") == [("d", "c")]
     f = spark.createDataFrame([("a/util.py", "x"), ("b.py", "import util"), ("c.py", "none")], "file_path string, content string")
     assert values(reports.naive_affected(f, "a/util.py"), "file_path") == [("b.py",)]
+
+
+def test_unresolved_calls_match_both_ends(spark):
+    from weftgraph.operators import stats
+
+    calls = spark.createDataFrame([("a.b",), ("b",), ("x.a.b",), ("z",), ("z",), ("ab",), (None,)], "name string")
+    known = spark.createDataFrame([("a.b",), (None,)], "name string")
+    assert {(r["name"], r["n"]) for r in stats.unresolved_calls(calls, known).collect()} == {("z", 2), ("ab", 1)}
+    assert stats.unresolved_calls(calls.limit(0), known).count() == 0
+
+
+def test_mentions_at_borders(spark):
+    from weftgraph.operators import reports
+
+    cases = [("credits", "api/credits.py", True), ("credits", "require_credits", False), ("track_", "call track_usage", True), ("track_", "backtrack_x", False), ("llm/", "api/llm/x", True), ("llm/", "allm/x", False), ("core.py", "see core.py", True)]
+    cases += [("NodeStore", "the store of a node", True), ("NodeStore", "a node" + " " * 200 + "store", False), ("a.b", "axb", False), (None, "x", False), ("x", None, False), ("Ab", "", False)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, m string, r string, want boolean")
+    wrong = df.withColumn("got", reports.mentioned(F.col("m"), F.col("r"))).where("got <> want").collect()
+    assert not wrong
+    runs = spark.createDataFrame([(1, [], "x"), (2, None, None), (3, ["x", None], "x y")], "k int, expected array<string>, response string")
+    assert {r["k"]: r["accuracy"] for r in reports.accuracy(runs, "k").collect()} == {1: 1.0, 2: 1.0, 3: 0.5}
+
+
+def test_prompt_mentions(spark):
+    from weftgraph.operators import lookup
+
+    nodes = spark.createDataFrame([("area", "src/b.py", 3), ("area", "src/a.py", 9), ("x", "c", 1)], "name string, file_path string, line_start int")
+    asks = spark.createDataFrame([(1, "who uses `area` in src/b.py, or ./src?"), (2, None), (3, "x y")], "k int, text string")
+    got = {(r["k"], r["place"], r["token"], r["kind"], r["found"]) for r in lookup.prompt_mentions(asks, nodes, "k").collect()}
+    assert got == {(1, 1, "area", "entity", "src/a.py:9"), (1, 2, "src", "file", "src/a.py"), (1, 3, "src/b.py", "file", "src/b.py")}
