@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import json.decoder
+import typing
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +14,11 @@ from pyspark.sql import functions as F
 from weftgraph import extract, router
 from weftgraph.engine import Engine
 from weftgraph.extract import extract_one, partial, python_ast
+from weftgraph.extract.entity import Entity, entity_batch
 from weftgraph.functions import names as N
 from weftgraph.functions import tokens as T
 from weftgraph.operators.mutate import Graph
-from weftgraph.plans import samples
+from weftgraph.plans import generated, samples
 from weftgraph.sources import projects, store
 from weftgraph.streaming import changes, keystrokes, windows
 
@@ -290,3 +295,30 @@ def test_windows(spark):
     e = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 05:00:00")], "file string, t string").select("file", F.col("t").cast("timestamp").alias("ts"))
     assert sorted(r.n for r in windows.sessions(e, "30 minutes").collect()) == [1, 2]
     assert [r.n for r in windows.tumbling(e, "1 day", by="file").collect()] == [3]
+
+
+def test_files_of_one_row_group_are_many_tasks(spark, sf):
+    n = generated.files(spark, sf, generated.PYTHON).groupBy(F.spark_partition_id()).count().collect()
+    assert len(n) >= 4 and max(r["count"] for r in n) <= 2 * min(r["count"] for r in n)
+
+
+def test_one_walk_finds_what_a_walk_for_each_definition_does():
+    for source in [typing.__file__, json.decoder.__file__, python_ast.__file__]:
+        text = Path(source).read_text()
+        tree = ast.parse(text)
+        assert [python_ast._dump(s, {}) for s in tree.body] == [ast.dump(s) for s in tree.body]
+        loads = lambda n: [x.id for x in ast.walk(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)]
+        defined = {n.lineno: loads(n) for n in ast.walk(tree) if isinstance(n, (*python_ast.FUNCTIONS, ast.ClassDef))}
+        found = {e.line_start: e.uses for e in python_ast.extract(text) if e.entity_type in ("class", "function")}
+        assert found and all(defined[k] == v for k, v in found.items())
+    deep = "".join(" " * k + f"def f{k}():\n" for k in range(60)) + " " * 60 + "x = A()\n" + " " * 60 + "g()\n"
+    inner = [e for e in python_ast.extract(deep) if e.name.endswith("f59")]
+    assert inner[0].calls == ["A", "g"] and inner[0].type_context == {"x": "A"}
+    assert python_ast._dump(ast.parse("x = None\ndef f(*, a): pass").body[0], {}) == "Assign(targets=[Name(id='x', ctx=Store())], value=Constant(value=None))"
+
+
+def test_entity_batch_keeps_every_field():
+    e = Entity("function", "f", 1, 2, "s", "t", ["a"], ["b"], ["c"], [{"module": "m", "name": "n"}], ["d"], ["p"], ["q"], {"x": "A"})
+    rows = entity_batch([("a.py", [e, e]), ("b.py", [])]).to_pylist()
+    assert rows == [{"file_path": "a.py", "ord": k, **e.row(), "type_context": [("x", "A")]} for k in (0, 1)]
+    assert entity_batch([]).num_rows == 0

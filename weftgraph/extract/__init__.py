@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import on_workers
 from . import partial, patterns, python_ast
-from .entity import ENTITY_SCHEMA, Entity
+from .entity import ENTITY_SCHEMA, Entity, entity_batch
 
+#: Files whose entities a worker holds before it sends them on.
+FILES_AT_ONCE = 2000
 #: language -> (extensions, function from source text to entities); open to users through ``register``.
 REGISTRY: dict[str, tuple[tuple[str, ...], Callable[[str], list[Entity]]]] = {}
 
@@ -51,15 +54,14 @@ def extract_entities(files: DataFrame) -> DataFrame:
     """
     on_workers(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["file_path"], b["content"], strict=True):
-                for k, e in enumerate(extract_one(path, content or "")):
-                    rows.append({"file_path": path, "ord": k, **e.row()})
-            yield pd.DataFrame(rows, columns=["file_path", "ord", *Entity.columns()])
+            for at in range(0, b.num_rows, FILES_AT_ONCE):
+                part = b.slice(at, FILES_AT_ONCE)
+                found = [(path, extract_one(path, content or "")) for path, content in zip(part["file_path"].to_pylist(), part["content"].to_pylist(), strict=True)]
+                yield entity_batch(found)
 
-    return files.select("file_path", "content").mapInPandas(run, f"file_path string, ord bigint, {ENTITY_SCHEMA}")
+    return files.select("file_path", "content").mapInArrow(run, f"file_path string, ord bigint, {ENTITY_SCHEMA}")
 
 
 def parse_regions(files: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, fields
 
+import pyarrow as pa
+
 
 def short_hash(text: str, n: int = 12) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:n]
@@ -39,3 +42,22 @@ ENTITY_SCHEMA = (
     "entity_type string, name string, line_start int, line_end int, signature_hash string, structure_hash string, calls array<string>, uses array<string>, "
     "inherits array<string>, imports array<struct<module:string,name:string>>, type_refs array<string>, params array<string>, decorators array<string>, type_context map<string,string>"
 )
+
+
+_TEXT, _NUMBER, _LIST = pa.string(), pa.int32(), pa.list_(pa.string())
+_TYPES = {"line_start": _NUMBER, "line_end": _NUMBER, "imports": pa.list_(pa.struct([("module", _TEXT), ("name", _TEXT)])), "type_context": pa.map_(_TEXT, _TEXT)}
+_TYPES |= dict.fromkeys(("calls", "uses", "inherits", "type_refs", "params", "decorators"), _LIST)
+
+
+def entity_batch(found: Iterable[tuple[str, list[Entity]]]) -> pa.RecordBatch:
+    """(file_path, ord, ...) of each file's entities, column by column."""
+    paths, places, entities = [], [], []
+    for path, of in found:
+        paths += [path] * len(of)
+        places += range(len(of))
+        entities += of
+    made = {"file_path": pa.array(paths, _TEXT), "ord": pa.array(places, pa.int64())}
+    for c in Entity.columns():
+        values = [getattr(e, c) for e in entities]
+        made[c] = pa.array([list(v.items()) for v in values] if c == "type_context" else values, _TYPES.get(c, _TEXT))
+    return pa.RecordBatch.from_pydict(made)

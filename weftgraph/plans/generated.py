@@ -134,8 +134,12 @@ def _filled(template: str, of: dict[str, Column]) -> Column:
 
 
 def files(spark: SparkSession, sf: str, *templates: tuple[str, str]) -> DataFrame:
-    """(file_path, content) of every part in each of ``templates``."""
-    p = spark.read.parquet(f"{sf}/part.parquet")
+    """(file_path, content) of every part in each of ``templates``.
+
+    A part is a short row and its files are much work: the rows are dealt out evenly, as a table of
+    many parts may be one row group and hence one task.
+    """
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
     k = F.col("p_partkey")
     of = {"k": k, "b": F.replace("p_brand", F.lit("#"), F.lit("")), "s": F.col("p_size"), "h": k % 7, "j": F.expr("p_partkey div 2"), "i": k % 5}
     made = F.explode(F.array(*[F.struct(_filled(path, of).alias("file_path"), _filled(text, of).alias("content")) for path, text in templates]))
