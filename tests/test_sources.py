@@ -322,3 +322,30 @@ def test_entity_batch_keeps_every_field():
     rows = entity_batch([("a.py", [e, e]), ("b.py", [])]).to_pylist()
     assert rows == [{"file_path": "a.py", "ord": k, **e.row(), "type_context": [("x", "A")]} for k in (0, 1)]
     assert entity_batch([]).num_rows == 0
+
+
+def test_patterns_without_their_word_are_not_searched():
+    from weftgraph.extract import patterns
+
+    for spec in patterns.LANGUAGES.values():
+        x = patterns.Extractor(spec)
+        for _, p, word in [*x.declarations, *x.imports]:
+            for source in [*samples.FILES.values(), *samples.BROKEN.values(), *(t for _, t in generated._BRACES.values())]:
+                assert all(word in m[0] for m in p.finditer(source))
+    assert [w for _, _, w in patterns.Extractor(patterns.LANGUAGES["java"]).declarations] == ["(", "(", "class", "interface", "{", "@interface"]
+
+
+@pytest.mark.parametrize("text", ["a { b { c } d } e", "} a { b", "{ { }", "", "} } {}", "{}{{}}"])
+def test_blocks_end_where_counting_braces_does(text):
+    from weftgraph.extract import patterns
+
+    def plain(at):
+        depth = 0
+        for i in range(at, len(text)):
+            depth += {"{": 1, "}": -1}.get(text[i], 0)
+            if text[i] == "}" and depth <= 0:
+                return i + 1
+        return len(text)
+
+    b = patterns._Braces(text)
+    assert [b.end(k, len(text)) for k in range(len(text))] == [plain(k) for k in range(len(text))]
