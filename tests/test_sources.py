@@ -349,3 +349,9 @@ def test_blocks_end_where_counting_braces_does(text):
 
     b = patterns._Braces(text)
     assert [b.end(k, len(text)) for k in range(len(text))] == [plain(k) for k in range(len(text))]
+
+
+def test_modules_of_one_row_group_are_parsed_in_many_tasks(spark, sf):
+    f = generated.files(spark, sf, generated.MODULE).withColumn("seq", F.lit(0).cast("bigint"))
+    n = changes.entities_of(f).groupBy(F.spark_partition_id()).count().collect()
+    assert len(n) >= 4 and sum(r["count"] for r in n) == 5 * f.count()
