@@ -17,8 +17,10 @@ from weftgraph.extract import extract_one, partial, python_ast
 from weftgraph.extract.entity import Entity, entity_batch
 from weftgraph.functions import names as N
 from weftgraph.functions import tokens as T
+from weftgraph.operators import resolve
 from weftgraph.operators.mutate import Graph
 from weftgraph.plans import generated, samples
+from weftgraph.session import shared_table
 from weftgraph.sources import projects, store
 from weftgraph.streaming import changes, keystrokes, windows
 
@@ -355,3 +357,49 @@ def test_modules_of_one_row_group_are_parsed_in_many_tasks(spark, sf):
     f = generated.files(spark, sf, generated.MODULE).withColumn("seq", F.lit(0).cast("bigint"))
     n = changes.entities_of(f).groupBy(F.spark_partition_id()).count().collect()
     assert len(n) >= 4 and sum(r["count"] for r in n) == 5 * f.count()
+
+
+def test_nodes_of_a_project_are_not_shuffled(spark):
+    twice = "def f():\n    return a()\n\nX = 1\n\ndef f():\n    return b()\n"
+    f = spark.createDataFrame([*samples.FILES.items(), ("twice.py", twice), ("broken.py", "def (")], "file_path string, content string")
+    got = changes.project_nodes(f)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = changes.nodes_of(changes.entities_of(f.withColumn("seq", F.lit(0).cast("bigint"))))
+    assert got.dtypes == plain.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    assert [(r.ord, r.calls) for r in got.where("file_path = 'twice.py' AND name = 'f'").collect()] == [(2, ["b"])]
+
+
+def test_ranks_are_tried_on_what_is_left(spark, sf, monkeypatch):
+    tried = {}
+
+    def counted(name):
+        whole = getattr(resolve, name)
+
+        def run(r, *more):
+            tried.setdefault(name, []).append(r.count())
+            return whole(r, *more)
+
+        monkeypatch.setattr(resolve, name, run)
+
+    for name in ("nearest", "inherited", "anywhere"):
+        counted(name)
+    f = generated.files(spark, sf, generated.MODULE, once=True)
+    k = f.count()
+    changes.named_edges(shared_table(changes.project_nodes(f), "nodes"))
+    # of five names a module looks for, self_{k} alone is nowhere; no method is left for ancestors
+    assert tried["anywhere"] == [k] and "inherited" not in tried and tried["nearest"][1] == k and tried["nearest"][0] <= 5 * k
+
+
+def test_edges_carry_the_names_of_both_ends(spark, graph):
+    n = {r.id: r for r in graph.nodes.collect()}
+    e = changes.named_edges(graph.nodes).collect()
+    assert e and all((n[r.source_id].name, n[r.target_id].name, n[r.target_id].file_path) == (r.source, r.target, r.target_file) for r in e)
+    assert {(r.source_id, r.target_id, r.edge_type, r.confidence) for r in e} == {tuple(r) for r in graph.edges.select("source_id", "target_id", "edge_type", "confidence").collect()}
+
+
+def test_a_method_left_over_is_an_ancestors(spark):
+    code = {"base.py": "class Base:\n    def save(self):\n        return 1\n", "sub.py": "from base import Base\n\nclass Sub(Base):\n    def run(self):\n        return self.save()\n", "far.py": "from os import path\nfrom sub import *\n\ndef go(s: Sub):\n    return s.save()\n"}
+    n = shared_table(changes.project_nodes(spark.createDataFrame(list(code.items()), "file_path string, content string")), "nodes")
+    got = {(r.source, r.edge_type, r.target, r.confidence) for r in changes.named_edges(n).collect()}
+    assert {("Sub.run", "calls", "Base.save", "low"), ("go", "calls", "Base.save", "low"), ("Sub", "inherits", "Base", "high"), ("*", "imports", "Sub", "medium")} <= got

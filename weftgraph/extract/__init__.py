@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial as partial_
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +20,10 @@ FILES_AT_ONCE = 2000
 REGISTRY: dict[str, tuple[tuple[str, ...], Callable[[str], list[Entity]]]] = {}
 
 
+#: Extractors that have a cheaper form without hashes.
+UNHASHED = {python_ast.extract: partial_(python_ast.extract, hashed=False)}
+
+
 def register(language: str, extensions: tuple[str, ...], extractor: Callable[[str], list[Entity]]) -> None:
     REGISTRY[language] = (extensions, extractor)
 
@@ -36,13 +41,14 @@ def language_of(path: str) -> str | None:
     return None
 
 
-def extract_one(path: str, content: str) -> list[Entity]:
+def extract_one(path: str, content: str, hashed: bool = True) -> list[Entity]:
     """A file's entities; extractors do not raise, and unknown files have none."""
     language = language_of(path)
     if language is None:
         return []
+    extractor = REGISTRY[language][1]
     try:
-        return REGISTRY[language][1](content)
+        return extractor(content) if hashed else UNHASHED.get(extractor, extractor)(content)
     except (SyntaxError, ValueError, RecursionError):
         return []
 
@@ -64,6 +70,28 @@ def extract_entities(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInArrow(run, f"file_path string, ord bigint, {ENTITY_SCHEMA}")
 
 
+#: What a node of the graph keeps of its entity.
+NODE_SCHEMA = "entity_type string, name string, line_start int, calls array<string>, inherits array<string>, imports array<struct<module:string,name:string>>, type_refs array<string>, decorators array<string>, uses array<string>"
+
+
+def extract_nodes(files: DataFrame) -> DataFrame:
+    """As ``extract_entities``, the last entity of each type and name of a file, without what nodes do not keep.
+
+    ``files`` (file_path, content) has a row a file. Hashes are not worked out.
+    """
+    on_workers(files.sparkSession)
+    columns = [c.split(" ")[0] for c in NODE_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, FILES_AT_ONCE):
+                part = b.slice(at, FILES_AT_ONCE)
+                found = [(path, extract_one(path, content or "", False)) for path, content in zip(part["file_path"].to_pylist(), part["content"].to_pylist(), strict=True)]
+                yield entity_batch(found, columns, last=True)
+
+    return files.select("file_path", "content").mapInArrow(run, f"file_path string, ord bigint, {NODE_SCHEMA}")
+
+
 def parse_regions(files: DataFrame) -> DataFrame:
     """(file_path, line_start, line_end, status, confidence, names) of broken sources."""
     on_workers(files.sparkSession)

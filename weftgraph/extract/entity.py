@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, fields
 
 import pyarrow as pa
@@ -49,15 +49,20 @@ _TYPES = {"line_start": _NUMBER, "line_end": _NUMBER, "imports": pa.list_(pa.str
 _TYPES |= dict.fromkeys(("calls", "uses", "inherits", "type_refs", "params", "decorators"), _LIST)
 
 
-def entity_batch(found: Iterable[tuple[str, list[Entity]]]) -> pa.RecordBatch:
-    """(file_path, ord, ...) of each file's entities, column by column."""
+def entity_batch(found: Iterable[tuple[str, list[Entity]]], columns: Sequence[str] | None = None, last: bool = False) -> pa.RecordBatch:
+    """(file_path, ord, ...) of each file's entities, column by column.
+
+    ``columns`` are those of the entity, all if not given; ``last`` keeps the last of a file's entities of
+    each type and name, at its place.
+    """
     paths, places, entities = [], [], []
     for path, of in found:
-        paths += [path] * len(of)
-        places += range(len(of))
-        entities += of
+        at = list({(e.entity_type, e.name): k for k, e in enumerate(of)}.values()) if last else range(len(of))
+        paths += [path] * len(at)
+        places += at
+        entities += [of[k] for k in at]
     made = {"file_path": pa.array(paths, _TEXT), "ord": pa.array(places, pa.int64())}
-    for c in Entity.columns():
+    for c in Entity.columns() if columns is None else columns:
         values = [getattr(e, c) for e in entities]
         made[c] = pa.array([list(v.items()) for v in values] if c == "type_context" else values, _TYPES.get(c, _TEXT))
     return pa.RecordBatch.from_pydict(made)

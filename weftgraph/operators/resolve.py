@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -17,9 +17,10 @@ from .traverse import ancestors
 
 def module_suffixes(files: DataFrame) -> DataFrame:
     """(suffix, file_path, ord): every dotted suffix of each file's module path."""
-    parts = F.split(F.regexp_replace("file_path", r"\.[^./]*$", ""), "/")
-    f = files.select("file_path", "ord", F.filter(parts, lambda x: x != "").alias("parts"))
-    return f.select("file_path", "ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "."))).alias("suffix")).where("size(split(suffix, '[.]')) > 0")
+    module = F.btrim(F.regexp_replace(F.regexp_replace("file_path", r"\.[^./]*$", ""), "/+", "/"), F.lit("/"))
+    f = files.select("file_path", "ord", module.alias("module")).where("module <> ''")
+    f = f.select("file_path", "ord", "module", F.explode(F.expr("sequence(1, length(module) - length(replace(module, '/', '')) + 1)")).alias("n"))
+    return f.select("file_path", "ord", F.expr("translate(substring_index(module, '/', -n), '/', '.')").alias("suffix"))
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -66,6 +67,11 @@ def reexport_chain(steps: DataFrame, max_hops: int = 5) -> DataFrame:
 
 
 RANKS = {3: "high", 4: "medium", 5: "medium", 6: "medium", 7: "low", 8: "low"}
+CASCADE = {1: "high", 2: "high"} | RANKS | {9: "low", 11: "low"}
+
+
+def confidence_of(rank: Column) -> Column:
+    return F.coalesce(*[F.when(rank == k, v) for k, v in CASCADE.items()])
 
 
 def resolve_targets(references: DataFrame, nodes: DataFrame, imported: DataFrame, stop_names: list[str] = ()) -> DataFrame:
@@ -99,12 +105,64 @@ def resolve_targets(references: DataFrame, nodes: DataFrame, imported: DataFrame
     return out.select(*references.columns, "target_id", "rank", "confidence", "n_candidates")
 
 
-def _members(wanted: DataFrame, nodes: DataFrame, rank: int) -> DataFrame:
-    """Of ``wanted`` (name, kind, method, target_file, first, ...): the first node there called so, ``method``, or ending in it."""
-    n = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("type").alias("kind"), F.col("file_path").alias("target_file"), "ord", N.bare(F.col("name")).alias("last"))
-    c = wanted.withColumn("last", N.bare(F.col("method"))).join(n, ["target_file", "kind", "last"])
-    c = c.where("target_name = name OR target_name = method OR endswith(target_name, concat('.', method))")
-    return c.groupBy("file_path", "name", "kind").agg(F.min(F.struct("first", "ord", "target_id")).alias("x")).select("file_path", "name", "kind", F.lit(rank).alias("rank"), F.col("x.target_id").alias("target_id"))
+def _split(r: DataFrame, stop_names: list[str]) -> DataFrame:
+    """Of ``r`` the dotted names, as receiver and method."""
+    dotted = r.where("instr(name, '.') > 0").select("file_path", "name", "kind", F.substring_index("name", ".", 1).alias("receiver"), F.expr("substring(name, instr(name, '.') + 1)").alias("method"))
+    return dotted.where(~F.col("receiver").isin(*stop_names)) if stop_names else dotted
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("type").alias("kind"), F.col("file_path").alias("target_file"), "ord", N.bare(F.col("name")).alias("last"))
+
+
+def nearest(r: DataFrame, nodes: DataFrame, receivers: DataFrame, index: DataFrame, stop_names: list[str] = ()) -> DataFrame:
+    """Ranks 1 to 8 of ``resolve_cascade``: (file_path, name, kind, x) of those found, x with rank, target_id, target and target_file.
+
+    ``r`` has distinct (file_path, name, kind) and ``known``, the files that its file imports;
+    ``receivers`` (file_path, receiver, target_file) says where the names that a file imports come from.
+    """
+    defined = _candidates(nodes)
+    # both ranks want a member of one file: that of a class of the receiver's name, or the receiver's own
+    dotted = _split(r, stop_names)
+    classes = nodes.where("type = 'class'").select(F.col("name").alias("receiver"), F.col("file_path").alias("target_file"), F.col("ord").alias("first"))
+    one = dotted.where(F.col("receiver").rlike("^[A-Z]")).join(classes, "receiver").withColumn("rank", F.lit(1))
+    two = dotted.join(receivers, ["file_path", "receiver"], "left").join(index.select(F.col("suffix").alias("receiver"), F.col("file_path").alias("by_module")), "receiver", "left")
+    two = two.withColumn("target_file", F.coalesce("target_file", "by_module")).where("target_file IS NOT NULL").withColumn("first", F.lit(0).cast("bigint")).withColumn("rank", F.lit(2)).select(*one.columns)
+    member = one.unionByName(two).withColumn("last", N.bare(F.col("method"))).join(defined, ["target_file", "kind", "last"])
+    member = member.where("target = name OR target = method OR endswith(target, concat('.', method))")
+    order = lambda rank, first, then: F.struct(rank.alias("rank"), first.cast("bigint").alias("first"), then.cast("bigint").alias("then"), "target_id", "target", "target_file").alias("x")
+    member = member.select("file_path", "name", "kind", order(F.col("rank"), F.col("first"), F.col("ord")))
+
+    c = r.withColumn("last", N.bare(F.col("name"))).join(defined, ["last", "kind"]).where("target = name OR endswith(target, concat('.', name))")
+    exact, own = F.col("target") == F.col("name"), F.col("target_file") == F.col("file_path")
+    known = F.coalesce(F.array_contains("known", F.col("target_file")), F.lit(False))
+    c = c.withColumn("rank", F.when(own, F.when(exact, 5).otherwise(8)).when(known, F.when(exact, 3).otherwise(6)).otherwise(F.when(exact, 4).otherwise(7)))
+    far = F.col("rank").isin(4, 7)
+    c = c.where(~(far & N.is_test_file(F.col("target_file")) & ~N.is_test_file(F.col("file_path"))))
+    score = F.when(far, N.shared_components(F.col("file_path"), F.col("target_file"))).otherwise(0)
+    ranked = c.select("file_path", "name", "kind", order(F.col("rank"), -score, F.when(far, F.col("ord")).otherwise(-F.col("ord"))))
+    # a minimum for each reference: aggregated before the shuffle, so that a common name is no group
+    return member.unionByName(ranked).groupBy("file_path", "name", "kind").agg(F.min("x").alias("x"))
+
+
+def inherited(r: DataFrame, nodes: DataFrame, inherits: DataFrame, stop_names: list[str] = ()) -> DataFrame:
+    """Rank 9 of ``resolve_cascade`` for ``r`` (file_path, name, kind): (file_path, name, kind, target_id)."""
+    up = inherits.select("source_id", "target_id", F.lit("inherits").alias("edge_type"))
+    above = _split(r, stop_names).where("kind = 'function'").select(F.struct("file_path", "name", "kind").alias("ref_id"), F.expr("substring(name, 1, length(name) - instr(reverse(name), '.'))").alias("class_name"), N.bare(F.col("name")).alias("method"))
+    return inherited_method(above, nodes, up).select("ref_id.*", "target_id")
+
+
+def anywhere(r: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rank 11 of ``resolve_cascade``: (file_path, name, kind, x) of ``r``, x with target_id, target and target_file."""
+    test = N.is_test_file(F.col("file_path"))
+    # only nodes of a name that is looked for; aggregated before the join, a row a name
+    every = nodes.select("name", "type", "file_path", "ord", "id").join(r.select("name").distinct(), "name", "left_semi")
+    node = (F.col("ord").alias("ord"), F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file_path").alias("target_file"))
+    late = (F.col("type") == "import").alias("late")
+    # a test's own references take tests as they come
+    every = every.groupBy("name").agg(F.min(F.struct(late, test.alias("test"), *node)).alias("a"), F.min(F.struct(late, *node)).alias("b"))
+    pick = lambda c: F.struct(f"{c}.target_id", f"{c}.target", f"{c}.target_file")
+    return r.join(every, "name").select("file_path", "name", "kind", F.when(test, pick("b")).otherwise(pick("a")).alias("x"))
 
 
 def receiver_files(nodes: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
@@ -131,27 +189,14 @@ def resolve_cascade(references: DataFrame, nodes: DataFrame, imports: DataFrame,
     r = references.select("file_path", "name", "kind").distinct()
     if stop_names:
         r = r.where(~F.col("name").isin(*stop_names))
-    dotted = r.where("instr(name, '.') > 0").withColumn("receiver", F.substring_index("name", ".", 1)).withColumn("method", F.expr("substring(name, instr(name, '.') + 1)"))
-    dotted = dotted.where(~F.col("receiver").isin(*stop_names)) if stop_names else dotted
     defined = nodes.where("type <> 'import'")
-    classes = nodes.where("type = 'class'").select(F.col("name").alias("receiver"), F.col("file_path").alias("target_file"), F.col("ord").alias("first"))
-    one = _members(dotted.where(F.col("receiver").rlike("^[A-Z]")).join(classes, "receiver"), defined, 1)
-    by_import = dotted.join(receiver_files(nodes, imports, index), ["file_path", "receiver"], "left")
-    by_import = by_import.join(index.select(F.col("suffix").alias("receiver"), F.col("file_path").alias("by_module")), "receiver", "left")
-    two = _members(by_import.withColumn("target_file", F.coalesce("target_file", "by_module")).where("target_file IS NOT NULL").withColumn("first", F.lit(0)), defined, 2)
-    ranked = resolve_targets(r.withColumn("ref_id", F.lit(None).cast("string")), defined, imported).where("target_id IS NOT NULL").select("file_path", "name", "kind", "rank", "target_id")
-    nine = []
+    known = imported.groupBy("file_path").agg(F.collect_set("imported").alias("known"))
+    flat = lambda df, rank: df.select("file_path", "name", "kind", rank.alias("rank"), F.col("x.target_id").alias("target_id"))
+    found = [flat(nearest(r.join(known, "file_path", "left"), defined, receiver_files(nodes, imports, index), index, stop_names), F.col("x.rank")), flat(anywhere(r, nodes), F.lit(11))]
     if inherits is not None:
-        up = inherits.select("source_id", "target_id", F.lit("inherits").alias("edge_type"))
-        above = dotted.where("kind = 'function'").select(F.struct("file_path", "name", "kind").alias("ref_id"), F.expr("substring(name, 1, length(name) - instr(reverse(name), '.'))").alias("class_name"), N.bare(F.col("name")).alias("method"))
-        nine = [inherited_method(above, nodes, up).select("ref_id.*", F.lit(9).alias("rank"), "target_id")]
-    every = nodes.select("name", F.struct((F.col("type") == "import").alias("late"), N.is_test_file(F.col("file_path")).alias("test"), "ord", F.col("id").alias("target_id")).alias("x"), N.is_test_file(F.col("file_path")).alias("test"))
-    # a test's own references take tests as they come; aggregated before the join, a row a name
-    every = every.groupBy("name").agg(F.min("x").alias("x"), F.min(F.struct("x.late", "x.ord", "x.target_id")).alias("y"))
-    eleven = r.join(every, "name").select("file_path", "name", "kind", F.lit(11).alias("rank"), F.when(N.is_test_file(F.col("file_path")), F.col("y.target_id")).otherwise(F.col("x.target_id")).alias("target_id"))
-    found = reduce(DataFrame.unionByName, [one, two, ranked, *nine, eleven]).groupBy("file_path", "name", "kind").agg(F.min(F.struct("rank", "target_id")).alias("x"))
-    names = {1: "high", 2: "high"} | RANKS | {9: "low", 11: "low"}
-    confidence = F.coalesce(*[F.when(F.col("x.rank") == k, v) for k, v in names.items()])
+        found.append(inherited(r, nodes, inherits, stop_names).select("file_path", "name", "kind", F.lit(9).alias("rank"), "target_id"))
+    found = reduce(DataFrame.unionByName, found).groupBy("file_path", "name", "kind").agg(F.min(F.struct("rank", "target_id")).alias("x"))
+    confidence = confidence_of(F.col("x.rank"))
     found = found.select("file_path", "name", "kind", "x.target_id", "x.rank", confidence.alias("confidence"))
     return references.join(found, ["file_path", "name", "kind"], "left").select(*references.columns, "target_id", "rank", "confidence")
 

@@ -1080,11 +1080,8 @@ def semantic_paths(spark, sf):
 @query(generated.EDGES_SQL)
 def project_graph(spark, sf):
     """A project of a module for each part, from sources to edges: extraction, then the resolution cascade."""
-    f = generated.files(spark, sf, generated.MODULE).withColumn("seq", F.lit(0).cast("bigint"))
-    n = shared_table(changes.nodes_of(changes.entities_of(f.select("file_path", "seq", "content"))), "nodes")
-    e = changes.edges_of(n)
-    s, t = n.select(F.col("id").alias("source_id"), F.col("name").alias("source")), n.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file_path").alias("target_file"))
-    return e.join(s, "source_id").join(t, "target_id").select("source", "edge_type", "target", "target_file", "confidence")
+    n = shared_table(changes.project_nodes(generated.files(spark, sf, generated.MODULE, once=True)), "nodes")
+    return changes.named_edges(n).select("source", "edge_type", "target", "target_file", "confidence")
 
 
 def _keys(spark, sf) -> DataFrame:

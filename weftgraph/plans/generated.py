@@ -129,17 +129,20 @@ _COLUMNS = "entity_type, name, line_start, line_end, calls, inherits, imports, t
 def _filled(template: str, of: dict[str, Column]) -> Column:
     out = F.lit(template)
     for name, value in of.items():
+        if "{" + name + "}" not in template:
+            continue
         out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
     return out
 
 
-def files(spark: SparkSession, sf: str, *templates: tuple[str, str]) -> DataFrame:
+def files(spark: SparkSession, sf: str, *templates: tuple[str, str], once: bool = False) -> DataFrame:
     """(file_path, content) of every part in each of ``templates``.
 
     A part is a short row and its files are much work: the rows are dealt out evenly, as a table of
-    many parts may be one row group and hence one task.
+    many parts may be one row group and hence one task. ``once`` takes one part of each key.
     """
-    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    p, n = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand", "p_size"), 4 * spark.sparkContext.defaultParallelism
+    p = p.repartition(n, "p_partkey").dropDuplicates(["p_partkey"]) if once else p.repartition(n)
     k = F.col("p_partkey")
     of = {"k": k, "b": F.replace("p_brand", F.lit("#"), F.lit("")), "s": F.col("p_size"), "h": k % 7, "j": F.expr("p_partkey div 2"), "i": k % 5}
     made = F.explode(F.array(*[F.struct(_filled(path, of).alias("file_path"), _filled(text, of).alias("content")) for path, text in templates]))

@@ -7,11 +7,12 @@ that a batch that runs again writes the same rows to the same place.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..extract import extract_entities
+from ..extract import extract_entities, extract_nodes
 from ..functions import vocab
 from ..functions.names import node_id
 from ..operators import delta, lookup, resolve
@@ -39,61 +40,116 @@ def nodes_of(entities: DataFrame) -> DataFrame:
     return last.select("id", "n.*")
 
 
-def import_edges(nodes: DataFrame, index: DataFrame) -> DataFrame:
-    """(source_id, target_id, confidence): what import nodes lead to.
+def project_nodes(files: DataFrame) -> DataFrame:
+    """The nodes of a project (file_path, content), a row a file.
+
+    As ``nodes_of`` its entities, but a file's are told apart by the task that parses it: nothing is shuffled.
+    """
+    e = extract_nodes(files).withColumnRenamed("entity_type", "type").withColumn("line_start", F.col("line_start").cast("bigint"))
+    return e.select(node_id(F.col("file_path"), F.col("type"), F.col("name")).alias("id"), "type", "name", "file_path", "line_start", "ord", "calls", "inherits", "imports", "type_refs", "decorators", "uses")
+
+
+_SOURCE, _TARGET = ("source_id", "source", "file_path"), ("target_id", "target", "target_file")
+
+
+def import_links(nodes: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What import nodes lead to, and what each says, written once with its direct targets.
 
     A name of a module goes to its definition there, or along the imports by which that module has it
     (five at most): high. ``*`` goes to all that the module exports: medium. A name whose module is
-    unknown goes to the first definition of the name in another file: medium.
+    unknown goes to the first definition of the name in another file: medium. Links have source, place
+    in its file, target, its ord and confidence.
     """
-    imports = nodes.where("type = 'import'").select(F.col("id").alias("source_id"), "file_path", F.explode("imports").alias("i")).select("source_id", "file_path", F.col("i.module").alias("suffix"), F.col("i.name").alias("wanted"))
-    at = imports.join(index.withColumnRenamed("file_path", "target_file"), "suffix")
-    defined = nodes.where("type <> 'import'").select(F.col("id").alias("target_id"), F.col("name").alias("wanted"), F.col("file_path").alias("target_file"))
-    direct = at.join(defined, ["target_file", "wanted"]).select("source_id", "target_id")
+    place, at = F.col("ord").alias("place"), F.posexplode("imports").alias("pos", "i")
+    source = nodes.where("type = 'import'").select(F.col("id").alias("source_id"), F.col("name").alias("source"), "file_path", place, "imports")
+    imports = source.select(*_SOURCE, "place", at).select(*_SOURCE, "place", "pos", F.col("i.module").alias("suffix"), F.col("i.name").alias("wanted"))
+    defined = nodes.where("type <> 'import'").select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file_path").alias("target_file"), F.col("ord").alias("target_ord"))
+    by_name = defined.withColumn("wanted", F.col("target"))
+    stated = imports.join(index.withColumnRenamed("file_path", "target_file"), "suffix", "left").join(by_name, ["target_file", "wanted"], "left")
+    stated = shared_table(stated, "stated")
+    links = lambda df, sure: df.select(*_SOURCE, "place", *_TARGET, "target_ord", sure.alias("confidence"))
+    direct = stated.where("target_id IS NOT NULL")
+    rest = stated.where("target_id IS NULL")
+    if rest.isEmpty():
+        return links(direct, F.lit("high")), stated
+    known = rest.where("target_file IS NOT NULL")
     named = nodes.where("type = 'import'").select(F.col("id").alias("to"), F.col("name").alias("wanted"), F.col("file_path").alias("target_file"))
-    on = at.join(named, ["target_file", "wanted"]).where("source_id <> to").join(direct.select("source_id"), "source_id", "left_anti").select(F.col("source_id").alias("at"), "to", F.lit(False).alias("defines"))
+    on = known.join(named, ["target_file", "wanted"]).where("source_id <> to").join(direct.select("source_id"), "source_id", "left_anti").select(F.col("source_id").alias("at"), "to", F.lit(False).alias("defines"))
     steps = direct.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.lit(True).alias("defines")).unionByName(on)
-    chained = resolve.reexport_chain(steps).select(F.col("start").alias("source_id"), F.col("definition").alias("target_id"))
-    found = direct.unionByName(chained).distinct().withColumn("confidence", F.lit("high"))
+    high, medium = F.lit("high").alias("confidence"), F.lit("medium").alias("confidence")
+    chained = shared_table(resolve.reexport_chain(steps).where("hops > 1").select(F.col("start").alias("source_id"), F.col("definition").alias("target_id"), high), "chained")
     exported = lookup.exports(nodes).select(F.col("file_path").alias("target_file"), F.col("name").alias("wanted"))
-    star = at.where("wanted = '*'").drop("wanted").join(exported, "target_file").join(defined, ["target_file", "wanted"]).select("source_id", "target_id", F.lit("medium").alias("confidence"))
-    lost = imports.where("wanted <> '*'").join(found.select("source_id"), "source_id", "left_anti")
-    # the first two files that define a name, a row a name: one of them is another file
-    by_file = defined.groupBy("wanted", "target_file").agg(F.min("target_id").alias("target_id"))
+    star = known.where("wanted = '*'").select("source_id", "target_file").join(exported, "target_file").join(by_name, ["target_file", "wanted"]).select("source_id", "target_id", medium)
+    found = direct.select("source_id").unionByName(chained.select("source_id"))
+    lost = rest.where("wanted <> '*'").join(found, "source_id", "left_anti").select("source_id", "file_path", "wanted")
+    # the first two files that define a name, a row a name that is looked for: one of them is another file
+    by_file = by_name.join(lost.select("wanted").distinct(), "wanted", "left_semi").groupBy("wanted", "target_file").agg(F.min("target_id").alias("target_id"))
     first = by_file.groupBy("wanted").agg(F.min(F.struct("target_file", "target_id")).alias("x"))
     second = by_file.join(first, "wanted").where("target_file <> x.target_file").groupBy("wanted").agg(F.min(F.struct("target_file", "target_id")).alias("y"))
     guess = lost.join(first, "wanted").join(second, "wanted", "left")
     guess = guess.withColumn("t", F.when(F.col("x.target_file") != F.col("file_path"), F.col("x.target_id")).otherwise(F.col("y.target_id"))).where("t IS NOT NULL").groupBy("source_id").agg(F.min("t").alias("target_id")).withColumn("confidence", F.lit("medium"))
-    return found.unionByName(star).unionByName(guess).dropDuplicates(["source_id", "target_id"])
+    more = chained.unionByName(star).unionByName(guess).groupBy("source_id", "target_id").agg(F.min("confidence").alias("confidence"))
+    more = more.join(source.drop("imports"), "source_id").join(defined, "target_id")
+    return shared_table(links(direct, high).unionByName(links(more, F.col("confidence"))), "imports"), stated
 
 
-def edges_of(nodes: DataFrame) -> DataFrame:
-    """Edges by resolving what nodes refer to, against all nodes at once.
+def named_edges(nodes: DataFrame) -> DataFrame:
+    """(source_id, source, target_id, target, target_file, edge_type, confidence): what nodes refer to, resolved against all nodes at once.
 
-    Imports first; then bases, so that methods are found in ancestors; then calls, types and
-    decorators. Calls and decorators try functions, then classes.
+    Imports first, then bases, calls, types and decorators. Calls and decorators try functions, then
+    classes. A method that is found in no file that its receiver leads to is looked for in ancestors.
+    A rank is tried on what those before it left, and names and files of both ends are carried along.
     """
     # what many ranks read is written once, so that no plan holds it many times over
     index = shared_table(resolve.module_index(nodes.groupBy("file_path").agg(F.min("ord").alias("ord"))), "modules")
-    imp = shared_table(import_edges(nodes, index), "imports")
-    imported = shared_table(resolve.imported_files(nodes, imp.withColumn("edge_type", F.lit("imports"))), "imported")
+    imp, stated = import_links(nodes, index)
+    imported = imp.where("file_path <> target_file").groupBy("file_path").agg(F.collect_set("target_file").alias("known"))
+    # by the targets of a name's first import, else by the module that it states
+    said = stated.where("pos = 0 AND target_file IS NOT NULL").select("file_path", F.col("source").alias("receiver"), F.struct("place", F.lit(1).alias("by"), F.lit(0).cast("bigint").alias("target_ord"), "target_file").alias("x"))
+    led = imp.select("file_path", F.col("source").alias("receiver"), F.struct("place", F.lit(0).alias("by"), "target_ord", "target_file").alias("x"))
+    receivers = led.unionByName(said).groupBy("file_path", "receiver").agg(F.min("x").alias("x")).select("file_path", "receiver", "x.target_file")
     stop = sorted(vocab.builtin_names())
+    defined = nodes.where("type <> 'import'")
+
+    wanted = {"inherits": ("inherits", "class"), "calls": ("calls", "function"), "type_refs": ("uses_type", "class"), "decorators": ("decorated_by", "function")}
+    refs = [nodes.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "file_path", F.explode(F.array_distinct(column)).alias("name"), F.lit(edge).alias("edge_type"), F.lit(kind).alias("kind")) for column, (edge, kind) in wanted.items()]
+    refs = reduce(DataFrame.unionByName, refs)
+    refs = shared_table(refs.where(~F.col("name").isin(*stop)), "references")
+    key = ["file_path", "name", "kind"]
+    r = shared_table(refs.select(*key).distinct().join(imported, "file_path", "left"), "wanted")
+    near = resolve.nearest(r, defined, receivers, index, stop)
+    near = shared_table(r.select(*key).join(near, key, "left").select(*key, "x.rank", *[f"x.{c}" for c in _TARGET]), "nearest")
+    ranked = lambda df, rank: df.select(*key, F.lit(rank).alias("rank"), *[f"x.{c}" for c in _TARGET])
+    found = near.where("target_id IS NOT NULL")
+    left = near.where("target_id IS NULL").select(*key)
+    if not left.isEmpty():
+        any_ = shared_table(left.join(resolve.anywhere(left, nodes), key, "left").select(*key, "x"), "anywhere")
+        eleven = ranked(any_.where("x IS NOT NULL"), 11)
+        dotted = left.where("kind = 'function' AND instr(name, '.') > 0")
+        if not dotted.isEmpty():
+            bases = refs.where("edge_type = 'inherits'").join(found.unionByName(eleven), key).where("target_id <> source_id").select("source_id", "target_id").distinct()
+            nine = resolve.inherited(dotted, nodes, shared_table(bases, "bases"), stop)
+            nine = nine.join(nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file_path").alias("target_file")), "target_id")
+            nine = shared_table(nine.select(*key, F.lit(9).alias("rank"), *_TARGET), "inherited")
+            eleven = nine.unionByName(eleven.join(nine, key, "left_anti"))
+            any_ = any_.join(nine, key, "left_anti")
+        # what no rank takes for a function: a class
+        again = any_.where("x IS NULL AND kind = 'function'").select("file_path", "name", F.lit("class").alias("kind")).join(imported, "file_path", "left")
+        classes = resolve.nearest(again, defined.where("type = 'class'"), receivers, index, stop)
+        classes = classes.select("file_path", "name", F.lit("function").alias("kind"), "x.rank", *[f"x.{c}" for c in _TARGET])
+        found = found.unionByName(eleven).unionByName(classes)
+    edges = refs.join(found, key).where("target_id <> source_id").select("source_id", "source", *_TARGET, "edge_type", resolve.confidence_of(F.col("rank")).alias("confidence"))
+    edges = edges.unionByName(imp.select("source_id", "source", *_TARGET, F.lit("imports").alias("edge_type"), "confidence"))
+    # of one edge by several names the surest
+    sure = {"high": 0, "medium": 1, "low": 2}
+    level = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in sure.items()])
+    edges = edges.groupBy("source_id", "source", *_TARGET, "edge_type").agg(F.min(level).alias("level"))
+    return edges.select("source_id", "source", *_TARGET, "edge_type", F.coalesce(*[F.when(F.col("level") == v, k) for k, v in sure.items()]).alias("confidence"))
 
-    def resolved(columns: dict[str, tuple[str, tuple[str, ...]]], inherits: DataFrame | None) -> DataFrame:
-        refs = None
-        for column, (edge, wanted) in columns.items():
-            r = nodes.select(F.col("id").alias("source_id"), "file_path", F.explode(F.array_distinct(column)).alias("name"), F.lit(edge).alias("edge_type"))
-            r = r.select("*", F.explode(F.array(*map(F.lit, wanted))).alias("kind"))
-            refs = r if refs is None else refs.unionByName(r)
-        refs = shared_table(refs, "references")
-        hit = resolve.resolve_cascade(refs, nodes, imp.select("source_id", "target_id"), inherits, index, imported, stop).where("target_id IS NOT NULL")
-        best = hit.groupBy("source_id", "edge_type", "name").agg(F.min(F.struct(F.when(F.col("kind") == "function", 0).otherwise(1), "target_id", "confidence")).alias("x"))
-        return best.select("source_id", "x.target_id", "edge_type", "x.confidence").where("target_id <> source_id")
-
-    bases = shared_table(resolved({"inherits": ("inherits", ("class",))}, None), "bases")
-    rest = resolved({"calls": ("calls", ("function", "class")), "type_refs": ("uses_type", ("class",)), "decorators": ("decorated_by", ("function", "class"))}, bases.select("source_id", "target_id"))
-    out = bases.unionByName(rest).unionByName(imp.select("source_id", "target_id", F.lit("imports").alias("edge_type"), "confidence"))
-    return out.dropDuplicates(["source_id", "target_id", "edge_type"])
+
+def edges_of(nodes: DataFrame) -> DataFrame:
+    """``named_edges`` by the ids of both ends."""
+    return named_edges(nodes).select("source_id", "target_id", "edge_type", "confidence")
 
 
 @dataclass
